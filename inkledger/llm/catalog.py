@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkledger.llm.canonical_values import map_free_values
 from inkledger.llm.consensus import annotators, consensus, krippendorff
 from inkledger.llm.containers import fill_containers
+from inkledger.llm.entity_graph import same_people
 from inkledger.llm.name_variants import variant_pairs
 from inkledger.llm.pieces import split_oversized
 from inkledger.llm.tokens import encode_corpus, read_tokenizer
@@ -15,6 +16,14 @@ from inkledger.llm.unify_characters import same_cell_pairs
 from inkledger.session import table
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_people(*(table(spark, sf_dir, t) for t in ("observation_in", "officers", "branch_vocab", "kanji_variant")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_links(spark, sf_dir).select("obs_id", "officer_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_cell_pairs(table(spark, sf_dir, "observation_in"), table(spark, sf_dir, "kanji_variant"))
 
@@ -55,7 +64,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), read_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p6_found, p7_found, p7_consensus, p7_readers, p7_agreement, p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p6_found, p7_found, p7_consensus, p7_readers, p7_agreement, p8_ids, p9_containers, p10_pieces)}
 SQL: dict[str, str] = {
     "p7_agreement": """
 WITH v AS (
