@@ -27,26 +27,24 @@ def refined_blocks(tokens: DataFrame, most: int, *refinements: str) -> DataFrame
     With the last field nothing is discarded any more.  Rows without the field that a common
     token needs keep their rarer tokens.
     """
-    todo = tokens.withColumn("block", F.col("token"))
-    out = None
-    for field in (*refinements, None):
-        if field is None:
-            part = todo
-        else:
-            sizes = todo.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-            sized = todo.join(sizes, "block")
-            part = sized.where(F.col("n") <= most)
-            todo = sized.where((F.col("n") > most) & F.col(field).isNotNull()).drop("n").withColumn("block", F.concat_ws("|", "block", F.col(field)))
-        part = part.select("id", "block")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    todo = cut_lineage(tokens.withColumn("block", F.col("token")))
+    parts = []
+    for field in refinements:
+        sizes = todo.groupBy(F.col("block").alias("sized")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        judged = cut_lineage(todo.join(sizes, F.col("block") == F.col("sized"), "left").drop("sized"))
+        parts.append(judged.where("n IS NULL").select("id", "block"))
+        todo = judged.where(F.col("n").isNotNull() & F.col(field).isNotNull()).drop("n").withColumn("block", F.concat_ws("|", "block", F.col(field)))
+    out = todo.select("id", "block")
+    for part in parts:
+        out = out.unionByName(part)
+    return cut_lineage(out.distinct())
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
     """Distinct ``(a, b)``, smaller id first, that share a block."""
     left = blocks.select(F.col("id").alias("a"), "block")
     right = blocks.select(F.col("id").alias("b"), "block")
-    return left.join(right, "block").where("a < b").select("a", "b").distinct()
+    return cut_lineage(left.join(right, "block").where("a < b").select("a", "b").distinct())
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

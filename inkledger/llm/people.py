@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType
 from inkledger.functions.notations import _ERA, _NUM, _DIGITS, _ERA_OF, any_day, number, tidy
 from inkledger.functions.text import form_of, on_distinct
 from inkledger.llm.canonical_values import UNMATCHED, Matcher, Normal, aliases
+from inkledger.session import cut_lineage
 
 WILD = "〓"
 #: Titles before a name and endings after it.
@@ -214,6 +215,7 @@ def readings(observation_in: DataFrame, variants: dict[str, str], branches: list
         years(F.col("commissioning_date"), F.col("context_era")).alias("year"),
         branch_of("branch_code", branches, variants).alias("branch"),
     ).select("obs_id", "cell", "n.form", "n.core", "day", "year", "branch")
+    rows = cut_lineage(rows)
     votes = rows.select("cell", F.explode(F.array(F.struct(F.lit("day").alias("f"), F.col("day").alias("v")), F.struct(F.lit("year").alias("f"), F.col("year").cast("string").alias("v")), F.struct(F.lit("branch").alias("f"), F.col("branch").alias("v")))).alias("x"))
     votes = votes.where("x.v IS NOT NULL").groupBy("cell", "x.f", "x.v").agg(F.count(F.lit(1)).alias("n"))
     top = votes.groupBy("cell").agg(*[F.max(F.when(F.col("f") == f, F.struct("n", "v"))).alias(f) for f in ("day", "year", "branch")])
