@@ -6,6 +6,8 @@ reason, and never guesses.  (The cascade over many foreign notations is in ``not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,13 +50,26 @@ def _tens(c: Column) -> Column:
     return F.when(tens == "", 1).otherwise(tens.try_cast("bigint")) * 10 + F.when(ones == "", 0).otherwise(ones.try_cast("bigint"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A plain expression is copied to every place that uses it, and this one would outgrow a
+    generated method; a lambda variable is bound instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kanji_int(column: Column | str) -> Column:
     """Strict numeral of the roster notation: 元, ASCII digits, juxtaposed ideographic digits or
     one 十 with at most one digit on either side; anything else gives null."""
     c = F.col(column) if isinstance(column, str) else column
-    t = F.translate(F.trim(c), "〇一二三四五六七八九", "0123456789")
-    pure = F.trim(c).rlike("^(元|[0-9]+|[〇一二三四五六七八九]+|[一二三四五六七八九]?十[一二三四五六七八九]?)$")
-    return F.when(pure, F.when(t.contains("十"), _tens(t)).when(t == "元", 1).otherwise(t.try_cast("bigint").cast("bigint")))
+    pure = "^(元|[0-9]{1,9}|[〇一二三四五六七八九]{1,9}|[一二三四五六七八九]?十[一二三四五六七八九]?)$"
+
+    def value(t: Column) -> Column:
+        digits = F.translate(t, "〇一二三四五六七八九", "0123456789")
+        return F.when(t.rlike(pure), F.when(t == "元", F.lit(1).cast("bigint")).when(t.contains("十"), _tens(digits)).otherwise(digits.try_cast("bigint")))
+
+    return let(F.trim(c), value)
 
 
 def era_date(column: Column | str, context_era: Column | None = None) -> Column:
@@ -63,26 +78,35 @@ def era_date(column: Column | str, context_era: Column | None = None) -> Column:
     Null and blank count as a text without an era mark.
     """
     c = F.col(column) if isinstance(column, str) else column
-    s = F.trim(F.coalesce(c, F.lit("")))
     context = context_era if context_era is not None else F.lit(None).cast("string")
     names = "|".join(e[1] for e in ROSTER_ERAS)
     marks = "".join(e[0] for e in ROSTER_ERAS)
-    name, mark = F.regexp_extract(s, f"^({names})", 1), F.regexp_extract(s, f"^([{marks}])", 1)
-    known_context = context.isin(*[e[0] for e in ROSTER_ERAS])
-    era = F.when(name != "", F.substring(name, 1, 1)).when(mark != "", mark).when(known_context, context)
-    rest = F.when(name != "", F.substring(s, 3, 1_000_000)).when(mark != "", F.substring(s, 2, 1_000_000)).otherwise(s)
-    parts = F.filter(F.split(rest, "[、,，. ・年月日]"), lambda x: F.trim(x) != "")
-    n = [kanji_int(F.try_element_at(parts, F.lit(i))) for i in (1, 2, 3)]
-    value = _day((_era_field(era, 3, ROSTER_ERAS) + n[0]).cast("int"), n[1].cast("int"), n[2].cast("int"))
-    bad_context = context.isNotNull() & ~known_context & (name == "") & (mark == "")
-    year = F.when(n[0] <= 9999, (_era_field(era, 3, ROSTER_ERAS) + n[0]).cast("int"))
-    reason = (
-        F.when(bad_context, F.concat(F.lit("unknown context era "), context))
-        .when(era.isNull(), "no era marker and no context era")
-        .when(F.size(parts) != 3, F.concat(F.lit("expected year/month/day, got "), F.size(parts).cast("string"), F.lit(" part(s)")))
-        .when(n[0].isNull() | n[1].isNull() | n[2].isNull(), "unreadable numeral")
-        .when(~n[1].between(1, 12), F.concat(F.lit("month "), n[1].cast("string"), F.lit(" out of range")))
-        .when(value.isNull(), F.concat(F.lit("day "), n[2].cast("string"), F.lit(" invalid for "), F.coalesce(year.cast("string"), F.lit("year")), F.lit("-"), F.lpad(n[1].cast("string"), 2, "0")))
-        .when(~_within(value, era, ROSTER_ERAS), F.concat(value.cast("string"), F.lit(" falls outside the "), era, F.lit(" era")))
-    )
-    return F.struct(F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
+    known = context.isin(*[e[0] for e in ROSTER_ERAS])
+
+    def split(s: Column) -> Column:
+        name, mark = s.rlike(f"^({names})"), s.rlike(f"^[{marks}]")
+        era = F.when(name | mark, F.substring(s, 1, 1)).when(known, context)
+        rest = F.when(name, F.substr(s, F.lit(3))).when(mark, F.substr(s, F.lit(2))).otherwise(s)
+        parts = F.filter(F.split(rest, "[、,，. ・年月日]"), lambda x: F.trim(x) != "")
+        numbers = F.transform(parts, kanji_int)
+        return F.struct(era.alias("era"), (context.isNotNull() & ~known & ~name & ~mark).alias("odd"), F.size(parts).alias("n"), numbers.alias("v"))
+
+    def date(x: Column) -> Column:
+        y, m, d = (F.get(x.v, F.lit(i)) for i in range(3))
+        year = F.when(y.between(0, 9000), _era_field(x.era, 3, ROSTER_ERAS) + y).cast("int")
+        fits = (x.n == 3) & (F.size(F.array_compact(x.v)) == 3)
+        return F.struct(x.era.alias("era"), x.odd.alias("odd"), x.n.alias("n"), fits.alias("fits"), year.alias("y"), m.alias("m"), d.alias("d"), F.when(fits, _day(year, m.cast("int"), d.cast("int"))).alias("value"))
+
+    def judged(x: Column) -> Column:
+        reason = (
+            F.when(x.odd, F.concat(F.lit("unknown context era "), context))
+            .when(x.era.isNull(), "no era marker and no context era")
+            .when(x.n != 3, F.concat(F.lit("expected year/month/day, got "), x.n.cast("string"), F.lit(" part(s)")))
+            .when(~x.fits, "unreadable numeral")
+            .when(~x.m.between(1, 12), F.concat(F.lit("month "), x.m.cast("string"), F.lit(" out of range")))
+            .when(x.value.isNull(), F.concat(F.lit("day "), x.d.cast("string"), F.lit(" invalid for "), F.coalesce(x.y.cast("string"), F.lit("year")), F.lit("-"), F.lpad(x.m.cast("string"), 2, "0")))
+            .when(~_within(x.value, x.era, ROSTER_ERAS), F.concat(x.value.cast("string"), F.lit(" falls outside the "), x.era, F.lit(" era")))
+        )
+        return let(reason, lambda r: F.struct(F.when(r.isNull(), x.value).alias("value"), r.alias("reason")))
+
+    return let(let(let(F.trim(F.coalesce(c, F.lit(""))), split), date), judged)
