@@ -91,10 +91,10 @@ def changed_leaves(leaves: DataFrame, depth: int, last_edition: int, fanout: int
     """(leaf, edition) reached from the root by descending only under nodes that differ."""
     levels = [leaves]
     for _ in range(depth):
-        levels.append(parent_level(levels[-1], fanout))
+        levels.append(cut_lineage(parent_level(levels[-1], fanout)))
     found = None
     for level in reversed(levels):
-        found = changed_nodes(level, last_edition, found, fanout)
+        found = cut_lineage(changed_nodes(level, last_edition, found, fanout))
     return found.select(F.col("node").alias("leaf"), "edition")
 
 
