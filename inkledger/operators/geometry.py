@@ -6,6 +6,8 @@ short.  Joins are by panel (and by bucket where a range is asked), never crossed
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,34 +26,39 @@ def band_fractions(lines: DataFrame) -> DataFrame:
     return rows.join(span, "panel").select("panel", "pos", half_even((F.col("pos") - F.col("top")) / (F.col("bottom") - F.col("top")), 4).alias("fraction"))
 
 
-def nearest_bands(bands: DataFrame, template: DataFrame, tolerance: float) -> DataFrame:
+def nearest_bands(bands: DataFrame, templates: dict[str, Sequence[float]], tolerance: float) -> DataFrame:
     """For every panel and template band the nearest detected band within the tolerance.
 
-    ``template`` has template_id, band, nominal.  The first of equally near bands counts; a band
-    without one keeps its nominal place and is marked unmatched.
+    ``templates`` has the nominal bands of each template, a small library that goes into the
+    plan.  The first of equally near bands counts; a band without one keeps its nominal place
+    and is marked unmatched.
     """
-    panels = bands.select("panel").distinct()
-    wanted = panels.join(F.broadcast(template))  # a template library is a handful of rows for each panel
+    library = F.array(*[F.struct(F.lit(t).alias("template_id"), F.lit(i).alias("band"), F.lit(float(n)).alias("nominal")) for t, ns in templates.items() for i, n in enumerate(ns)])
+    both = bands.select("panel", "pos", "fraction", F.explode(library).alias("t")).select("panel", "pos", "fraction", "t.*")
     distance = F.abs(F.col("fraction") - F.col("nominal"))
-    both = wanted.join(bands, "panel").withColumn("distance", distance)
-    best = both.groupBy("panel", "template_id", "band", "nominal").agg(F.min(F.when(F.col("distance") <= tolerance, F.struct("distance", "pos", "fraction"))).alias("b"))
+    near = F.when(distance <= tolerance, F.struct(distance.alias("distance"), "pos", "fraction"))
+    best = both.groupBy("panel", "template_id", "band", "nominal").agg(F.min(near).alias("b"))
     return best.select("panel", "template_id", "band", "nominal", F.coalesce("b.fraction", "nominal").alias("place"), F.col("b.distance").alias("residual"), F.col("b").isNull().alias("unmatched"))
 
 
-def registrations(bands: DataFrame, template: DataFrame, tolerance: float) -> DataFrame:
+def registrations(bands: DataFrame, templates: dict[str, Sequence[float]], tolerance: float) -> DataFrame:
     """Per panel and template: matched bands, mean residual (1 if none), share of the detected
     bands that the template explains."""
-    forward = nearest_bands(bands, template, tolerance).groupBy("panel", "template_id").agg(F.count_if(~F.col("unmatched")).alias("matched"), F.coalesce(F.avg("residual"), F.lit(1.0)).alias("residual"))
-    near = F.exists("nominals", lambda n: F.abs(n - F.col("fraction")) <= tolerance)
-    nominals = template.groupBy("template_id").agg(F.collect_list("nominal").alias("nominals"))
-    back = bands.join(F.broadcast(nominals)).groupBy("panel", "template_id").agg((F.count_if(near) / F.count(F.lit(1))).alias("explained"))
+    forward = nearest_bands(bands, templates, tolerance).groupBy("panel", "template_id").agg(F.count_if(~F.col("unmatched")).alias("matched"), F.coalesce(F.avg("residual"), F.lit(1.0)).alias("residual"))
+    library = F.array(*[F.struct(F.lit(t).alias("template_id"), F.array(*[F.lit(float(n)) for n in ns]).alias("nominals")) for t, ns in templates.items()])
+    near = F.exists("t.nominals", lambda n: F.abs(n - F.col("fraction")) <= tolerance)
+    back = bands.select("panel", "fraction", F.explode(library).alias("t")).groupBy("panel", F.col("t.template_id").alias("template_id")).agg((F.count_if(near) / F.count(F.lit(1))).alias("explained"))
     return forward.join(back, ["panel", "template_id"]).select("panel", "template_id", "matched", F.round("residual", 6).alias("residual"), F.round("explained", 6).alias("explained"))
 
 
-def classify(registered: DataFrame, panels: DataFrame, gates: DataFrame) -> DataFrame:
+def classify(registered: DataFrame, panels: DataFrame, gates: dict[str, tuple[int, float]]) -> DataFrame:
     """The template that passes its gates with most matches, then least residual, then first id;
-    a panel that none fits is refused (null)."""
-    passed = registered.join(F.broadcast(gates), "template_id").where((F.col("matched") >= F.col("min_bands")) & (F.col("explained") >= F.col("min_explained")))
+    a panel that none fits is refused (null).  ``gates`` has the least number of matches and the
+    least explained share of each template."""
+    fits = F.lit(False)
+    for template, (bands, explained) in gates.items():
+        fits = fits | ((F.col("template_id") == template) & (F.col("matched") >= bands) & (F.col("explained") >= explained))
+    passed = registered.where(fits)
     best = passed.groupBy("panel").agg(F.min(F.struct((-F.col("matched")).alias("m"), "residual", "template_id")).alias("b"))
     return panels.join(best, "panel", "left").select("panel", F.col("b.template_id").alias("template_id"), (-F.col("b.m")).alias("matched"))
 

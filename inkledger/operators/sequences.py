@@ -103,8 +103,9 @@ def next_unread(read: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def half_even_median(values: Column) -> Column:
-    """Median that takes one element of an even list: place (n-1)/2 rounded half to even."""
-    return F.element_at(F.array_sort(values), (F.bround((F.size(values) - 1) / 2) + 1).cast("int"))
+    """Median that takes one element of an even list: place (n-1)/2 rounded half to even; null for an
+    empty list."""
+    return F.get(F.array_sort(values), F.bround((F.size(values) - 1) / 2).cast("int"))
 
 
 def page_number_model(df: DataFrame, keys: list[str], frame: str, page: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Flag codes that change a cell's audit status.
@@ -25,14 +25,15 @@ def resolve(df: DataFrame, column: str, vocab: DataFrame, code: str) -> DataFram
 def suggest(vocab: DataFrame, code: str, prefixes: DataFrame, most: int = 8) -> DataFrame:
     """First ``most`` entries whose label, code, English label or variant begins with a prefix,
     in vocabulary order; an empty prefix suggests the first ones.  A top-k report."""
-    from pyspark.sql import Window
-
-    entries = vocab.select(code, "label_ja", F.lower("label_en").alias("en"), F.filter(F.split(F.coalesce("variants", F.lit("")), "[;|\\s]+"), lambda v: v != "").alias("vs"), F.coalesce("seniority_order", F.lit(999999)).alias("o"))
-    pre = F.col("prefix")
-    hit = F.col("label_ja").startswith(pre) | F.col(code).startswith(pre) | F.col("en").startswith(F.lower(pre)) | F.exists("vs", lambda v: v.startswith(pre))
-    joined = prefixes.join(entries, hit)
-    ranked = joined.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy("o", code)))
-    return ranked.where(F.col("place") <= most).select("prefix", "place", F.col(code).alias("code"))
+    spelt = F.array_compact(F.concat(F.array("label_ja", F.col(code)), F.filter(F.split(F.coalesce("variants", F.lit("")), "[;|\\s]+"), lambda v: v != "")))
+    heads = lambda x: F.transform(F.sequence(F.lit(0), F.length(x)), lambda n: F.substr(x, F.lit(1), n))
+    keyed = vocab.select(F.col(code).alias("code"), F.coalesce("seniority_order", F.lit(999999)).alias("o"), F.array_distinct(F.flatten(F.transform(spelt, heads))).alias("own"), heads(F.lower(F.coalesce("label_en", F.lit("")))).alias("en"))
+    own = keyed.select("code", "o", F.explode("own").alias("prefix"))
+    english = keyed.select("code", "o", F.explode("en").alias("_low"))
+    asked = prefixes.select("prefix").distinct()
+    hits = asked.join(own, "prefix").unionByName(asked.withColumn("_low", F.lower("prefix")).join(english, "_low").drop("_low").select("prefix", "code", "o")).distinct()
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("prefix").orderBy("o", "code")))
+    return ranked.where(F.col("place") <= most).select("prefix", "place", "code")
 
 
 def lint(vocab: DataFrame, code: str, kind: str) -> DataFrame:

@@ -12,25 +12,21 @@ TEMPLATES = {"A": (0, 0.1, 0.2, 0.35, 0.5, 0.75, 1), "B": (0, 0.25, 0.5, 0.75, 1
 TOLERANCE = 0.015
 
 
-def _templates(spark):
-    return spark.createDataFrame([(t, i, float(n)) for t, ns in TEMPLATES.items() for i, n in enumerate(ns)], "template_id string, band int, nominal double")
-
-
 def _bands(spark, sf):
     rows = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("panel"), F.lit("h").alias("axis"), F.col("p_size").cast("double").alias("pos"))
     return G.band_fractions(rows)
 
 
 def nearest_band(spark, sf):
-    return G.nearest_bands(_bands(spark, sf), _templates(spark), TOLERANCE)
+    return G.nearest_bands(_bands(spark, sf), TEMPLATES, TOLERANCE)
 
 
 def register_panels(spark, sf):
-    return G.registrations(_bands(spark, sf), _templates(spark), TOLERANCE)
+    return G.registrations(_bands(spark, sf), TEMPLATES, TOLERANCE)
 
 
 def classify_template(spark, sf):
-    gates = spark.createDataFrame([(t, len(ns) - 1, 0.2) for t, ns in TEMPLATES.items()], "template_id string, min_bands int, min_explained double")
+    gates = {t: (len(ns) - 1, 0.2) for t, ns in TEMPLATES.items()}
     bands = _bands(spark, sf)
     return G.classify(register_panels(spark, sf), bands.select("panel").distinct(), gates)
 
@@ -46,9 +42,8 @@ def column_edges(spark, sf):
 
 def cell_geometry(spark, sf):
     edges = table(spark, sf, "part").select("p_brand", (F.col("p_size") * 10.0).alias("edge")).distinct().select(F.col("p_brand").alias("panel"), "edge", (F.col("edge") % 70 == 0).alias("interpolated"))
-    fields = spark.createDataFrame([("first", 0.0, 0.1, False), ("middle", 0.2, 0.5, True), ("last", 0.75, 1.0, False)], "field string, top double, bottom double, unmatched boolean")
-    panels = edges.select("panel").distinct().join(F.broadcast(fields))
-    return G.page_cells(edges, panels)
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(a).alias("top"), F.lit(b).alias("bottom"), F.lit(u).alias("unmatched")) for n, a, b, u in (("first", 0.0, 0.1, False), ("middle", 0.2, 0.5, True), ("last", 0.75, 1.0, False))])
+    return G.page_cells(edges, edges.select("panel").distinct().select("panel", F.inline(fields)))
 
 
 def region_urls(spark, sf):

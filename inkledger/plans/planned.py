@@ -25,8 +25,10 @@ def unit_overlap(spark, sf):
 def linkage_bands(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).alias("cb"))
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("sb"))
-    both = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
-    score = P.linkage_score([(F.col("cb") == F.col("sb"), 4.0, 1.0), (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10, 2.0, 0.5)])
+    same_nation = F.col("c_nationkey") == F.col("s_nationkey")
+    near, ending = F.col("cb") == F.col("sb"), F.col("c_custkey") % 97 == F.col("s_suppkey") % 97
+    both = c.join(s, same_nation & near).unionByName(c.join(s, same_nation & ending)).distinct()
+    score = P.linkage_score([(near, 4.0, 1.0), (ending, 2.0, 0.5)])
     return both.groupBy("c_nationkey", P.linkage_band(score, 5.0, 1.0).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -70,8 +72,8 @@ _SNAP = f"SELECT person_id, as_of_date AS \"at\", seniority_order AS value FROM
 SQL = {
     "unit_overlap": f"""SELECT a.unit_id, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS days FROM ({_P}) a JOIN ({_P}) b ON a.unit_id = b.unit_id AND CAST(right(a.person_id, 1) AS INTEGER) % 2 = 0
  AND CAST(right(b.person_id, 1) AS INTEGER) % 2 = 1 AND a.s <= b.e AND b.s <= a.e GROUP BY a.unit_id""",
-    "linkage_bands": """SELECT c_nationkey, CASE WHEN s >= 5 THEN 'link' WHEN s >= 1 THEN 'review' ELSE 'no_link' END AS band, count(*) AS n FROM (SELECT c_nationkey, CASE WHEN floor(c_acctbal / 1000) = floor(s_acctbal / 1000) THEN 4.0 ELSE -1.0 END + CASE WHEN c_custkey % 10 = s_suppkey % 10 THEN 2.0 ELSE -0.5 END AS s
- FROM customer JOIN supplier ON c_nationkey = s_nationkey) x GROUP BY ALL""",
+    "linkage_bands": """SELECT c_nationkey, CASE WHEN s >= 5 THEN 'link' WHEN s >= 1 THEN 'review' ELSE 'no_link' END AS band, count(*) AS n FROM (SELECT c_nationkey, CASE WHEN floor(c_acctbal / 1000) = floor(s_acctbal / 1000) THEN 4.0 ELSE -1.0 END + CASE WHEN c_custkey % 97 = s_suppkey % 97 THEN 2.0 ELSE -0.5 END AS s
+ FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (floor(c_acctbal / 1000) = floor(s_acctbal / 1000) OR c_custkey % 97 = s_suppkey % 97)) x GROUP BY ALL""",
     "event_reconcile": f"""SELECT e.person_id, e."at", since, until, before, after FROM (SELECT DISTINCT person_id, CAST(CAST(CAST(commissioning_date AS DATE) + INTERVAL 120 MONTH AS DATE) AS VARCHAR) AS "at" FROM observation WHERE person_id IS NOT NULL AND commissioning_date IS NOT NULL) e
  JOIN (SELECT person_id, "at" AS since, lead("at") OVER w AS until, value AS before, lead(value) OVER w AS after FROM ({_SNAP}) s WINDOW w AS (PARTITION BY person_id ORDER BY "at")) p ON e.person_id = p.person_id AND until IS NOT NULL AND e."at" > since AND e."at" <= until""",
     "rank_regressions": f"SELECT * FROM (SELECT person_id, \"at\", value, lag(value) OVER (PARTITION BY person_id ORDER BY \"at\") AS before FROM ({_SNAP}) s) x WHERE value < before",
