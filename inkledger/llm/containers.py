@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.tokens import Vocabulary, map_texts
+from inkledger.llm.tokens import Remembered, Vocabulary, map_texts
 from inkledger.session import cut_lineage
 
 
@@ -44,39 +44,43 @@ def measured_items(documents: DataFrame, blob: bytes, limits: Limits) -> DataFra
     """``(doc_id, part, first_token, n_tokens, n_loss)``; several parts only beyond a limit."""
 
     def measure(words: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes: dict[str, tuple[int, int]] = {}
+        sizes = _sizes(words)
         out: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            tokens = loss = 0
             pieces = words.split(text or "")
-            for piece in pieces:
-                size = sizes.get(piece)
-                if size is None:
-                    n = len(words.encode_piece(piece))
-                    size = sizes[piece] = (n, n if any(map(str.isalpha, piece)) else 0)
-                tokens += size[0]
-                loss += size[1]
+            packed_sizes = np.fromiter(map(sizes.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            each, bears = packed_sizes >> 1, packed_sizes & 1
+            tokens, loss = int(each.sum()), int((each * bears).sum())
             if tokens <= limits.tokens and loss <= limits.loss_tokens:
                 out.append((doc_id, 0, 0, tokens, loss))
             else:
-                out += [(doc_id, k, *part) for k, part in enumerate(divided(pieces, sizes, limits))]
+                out += [(doc_id, k, *part) for k, part in enumerate(divided(each.tolist(), bears.tolist(), limits))]
         columns = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32())] + [pa.array(c, pa.int64()) for c in columns[2:]], names=["doc_id", "part", "first_token", "n_tokens", "n_loss"])
 
     return map_texts(documents, ["doc_id", "text"], measure, "doc_id long, part int, first_token long, n_tokens long, n_loss long", blob)
 
 
-def divided(pieces: list[str], sizes: dict[str, tuple[int, int]], limits: Limits) -> Iterator[tuple[int, int, int]]:
-    """(first token, tokens, loss tokens) of parts, each as full as the limits allow."""
+def _sizes(words: Vocabulary) -> Remembered:
+    """Twice the tokens of a piece, plus one if they bear loss (the piece has a letter)."""
+    if not hasattr(words, "loss_sizes"):
+        words.loss_sizes = Remembered(lambda piece: 2 * len(words.pieces[piece]) + any(map(str.isalpha, piece)))
+    return words.loss_sizes
+
+
+def divided(sizes: list[int], bears: list[int], limits: Limits) -> Iterator[tuple[int, int, int]]:
+    """(first token, tokens, loss tokens) of parts, each as full as the limits allow.
+
+    ``sizes`` has the tokens of the pieces, ``bears`` whether they bear loss.
+    """
     first = tokens = loss = 0
-    for piece in pieces:
-        left, bears = sizes[piece][0], sizes[piece][1] > 0
+    for left, bearing in zip(sizes, bears):
         while left:
             room = limits.tokens - tokens
-            if bears:
+            if bearing:
                 room = min(room, limits.loss_tokens - loss)
             take = min(left, room)
-            tokens, loss, left = tokens + take, loss + take * bears, left - take
+            tokens, loss, left = tokens + take, loss + take * bearing, left - take
             if left:
                 yield first, tokens, loss
                 first, tokens, loss = first + tokens, 0, 0
@@ -123,6 +127,6 @@ def fill_containers(documents: DataFrame, blob: bytes, limits: Limits = Limits()
         return block[["container_id", "doc_id", "part", "first_token", "n_tokens", "n_loss"]]
 
     schema = "container_id long, doc_id long, part int, first_token long, n_tokens long, n_loss long"
-    out = placed.groupBy("block").applyInPandas(pack, schema)
+    out = placed.repartition(blocks, "block").groupBy("block").applyInPandas(pack, schema)  # a set number, so small blocks are not joined in one task
     empty = items.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container_id"), "doc_id", "part", "first_token", "n_tokens", "n_loss")
     return out.unionByName(empty)

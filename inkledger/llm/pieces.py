@@ -21,38 +21,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkledger.llm.tokens import Vocabulary, map_texts
+from inkledger.llm.tokens import Remembered, Vocabulary, map_texts
 
 LIMIT, OVERLAP = 1024, 96
 #: Characters that end a sentence, and those that may follow before the cut.
 _ENDS, _CLOSERS = ".?!。！？…｡", "\"'”’」』)）]"
 #: Longest undivided unit, in characters, of a run without boundaries.
-_UNIT = 24
+_UNIT = 64
 
 
-def units_of(words: Vocabulary, text: str) -> list[str]:
-    """The tokenizer's pieces, long ones divided."""
-    out = []
-    for piece in words.split(text):
-        if len(piece) <= _UNIT:
-            out.append(piece)
-        else:
-            out += [piece[i : i + _UNIT] for i in range(0, len(piece), _UNIT)]
-    return out
+def _codes(words: Vocabulary) -> Remembered:
+    """Facts of a unit in one number: tokens, white space, sentence end, leading space, lines."""
+
+    def code(unit: str) -> int:
+        core = unit.rstrip(_CLOSERS)
+        return len(words.pieces[unit]) | unit.isspace() << 20 | (core[-1:] in _ENDS and core != "") << 21 | unit[:1].isspace() << 22 | min(unit.count("\n"), 255) << 24
+
+    if not hasattr(words, "unit_codes"):
+        words.unit_codes = Remembered(code)
+    return words.unit_codes
+
 
+def units_of(words: Vocabulary, text: str) -> tuple[list[str], bool]:
+    """The tokenizer's pieces, long ones divided, and whether any was."""
+    pieces = words.split(text)
+    if max(map(len, pieces), default=0) <= _UNIT:
+        return pieces, False
+    return [piece[i : i + _UNIT] for piece in pieces for i in range(0, len(piece), _UNIT)], True
 
-def graded(units: list[str]) -> np.ndarray:
+
+def graded(codes: np.ndarray) -> np.ndarray:
     """Grade of the boundary behind each unit: 3 cue, 2 line or sentence, 1 white space, 0."""
-    blank = np.array([u.isspace() for u in units])
-    lines = np.array([u.count("\n") for u in units])
-    ends = np.array([u.rstrip(_CLOSERS)[-1:] in _ENDS and u.rstrip(_CLOSERS) != "" for u in units])
-    before = np.concatenate([[0], np.where(blank[:-1], lines[:-1], 0)])
-    ahead = np.concatenate([blank[1:], [False]])
-    spaced = np.array([u[:1].isspace() for u in units[1:]] + [True])
-    grade = np.where(spaced, 1, 0)
-    grade = np.where(ends, 2, grade)
-    grade = np.where(blank, np.where(lines + before >= 2, 3, np.where(lines + before == 1, 2, 1)), grade)
-    return np.where(ahead, np.minimum(grade, 1), grade)
+    blank, ends, leading, lines = codes >> 20 & 1, codes >> 21 & 1, codes >> 22 & 1, codes >> 24
+    before = np.concatenate([[0], (lines * blank)[:-1]])
+    ahead = np.concatenate([blank[1:], [0]])
+    spaced = np.concatenate([leading[1:], [1]])
+    grade = np.where(ends == 1, 2, spaced)
+    run = lines + before
+    grade = np.where(blank == 1, np.where(run >= 2, 3, np.where(run == 1, 2, 1)), grade)
+    return np.where(ahead == 1, np.minimum(grade, 1), grade)
 
 
 def successors(total: np.ndarray, grade: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,44 +101,56 @@ def reached(following: np.ndarray) -> np.ndarray:
 
 def cut(words: Vocabulary, text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(first character, end, tokens) of the pieces of a text."""
-    units = units_of(words, text)
-    sizes = np.array([len(words.encode_piece(u)) for u in units], dtype=np.int64)
-    if not len(units):
+    units, divided = units_of(words, text)
+    if not units:
         return []
+    codes = np.fromiter(map(_codes(words).__getitem__, units), dtype=np.int64, count=len(units))
+    sizes = codes & 0xFFFFF
     whole = int(sizes.sum())
-    if whole <= limit and max(map(len, units)) < _UNIT:
+    if whole <= limit and not divided:
         return [(0, len(text), whole)]
     total = np.concatenate([[0], np.cumsum(sizes)])
-    chars = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-    grade = np.concatenate([[3], graded(units)])
-    end, following = successors(total, grade, limit, overlap)
+    chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units)))])
+    blank = codes >> 20 & 1
+
+    def tokens_of(start: int, stop: int) -> int:
+        """Tokens of units start..stop encoded by themselves.
+
+        Splitting looks ahead only over white space, so all but a last run of it keeps its
+        pieces; where units are parts of a piece the text is encoded.
+        """
+        if divided:
+            return len(words.encode(text[chars[start] : chars[stop]]))
+        last = stop
+        while last > start and blank[last - 1]:
+            last -= 1
+        tail = text[chars[last] : chars[stop]]
+        return int(total[last] - total[start]) + (len(words.encode(tail)) if tail else 0)
+
+    end, following = successors(total, np.concatenate([[3], graded(codes)]), limit, overlap)
     out, covered = [], 0
-    for start in reached(following):
+    starts = [int(s) for s in reached(following)]
+    while covered < len(units):
+        start = min(starts.pop(0), covered) if starts else covered
         stop = int(end[start])
-        start = min(int(start), covered)  # a piece shortened below hands its rest to the next
-        while True:
-            tokens = len(words.encode(text[chars[start] : chars[stop]]))
-            if tokens <= limit:
-                break
+        if stop <= covered and covered:
+            continue
+        while (tokens := tokens_of(start, stop)) > limit:
             if start < min(covered, stop - 1):
-                start += 1  # give up overlap first
+                start += 1  # gives up overlap before text
             else:
                 stop -= 1
+        if stop <= covered and covered:
+            continue
         out.append((int(chars[start]), int(chars[stop]), tokens))
         covered = stop
-    while covered < len(units):
-        stop = int(end[covered])
-        while (tokens := len(words.encode(text[chars[covered] : chars[stop]]))) > limit:
-            stop -= 1
-        out.append((int(chars[covered]), int(chars[stop]), tokens))
-        covered = stop
     return out
 
 
 def split_oversized(documents: DataFrame, blob: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``(doc_id, piece, first_char, end_char, n_tokens, text)`` of every text."""
     if not 0 <= 2 * overlap < limit or limit < 4 * _UNIT:
-        raise ValueError("the overlap must be under half the limit, and the limit no smaller than 96")
+        raise ValueError("the overlap must be under half the limit, and the limit no smaller than 256")
 
     def split(words: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

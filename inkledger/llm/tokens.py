@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,6 +32,21 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 REMEMBERED_LENGTH, REMEMBERED = 64, 400_000
 
 
+class Remembered(dict):
+    """A bounded memory of a function of short texts; ``[]`` computes what is missing."""
+
+    def __init__(self, function: Callable[[str], object]):
+        self.function = function
+
+    def __missing__(self, text: str):
+        value = self.function(text)
+        if len(text) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = value
+        return value
+
+
 class Vocabulary:
     """Ranked byte tokens with the compatibility of pairs."""
 
@@ -47,7 +64,7 @@ class Vocabulary:
         self._left: dict[int, list] = {}
         self._apart: dict[int, bool] = {}
         self._split = regex.compile(PIECES)
-        self._known: dict[str, list[int]] = {}
+        self.pieces = Remembered(self.encode_piece)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes."""
@@ -115,33 +132,21 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece, read off its table backwards."""
-        known = self._known.get(piece)
-        if known is not None:
-            return known
         raw = piece.encode("utf-8")
         if raw in self.rank:
-            out = [self.rank[raw]]
-        else:
-            last, out, at = self.last_tokens(raw), [], len(raw)
-            while at:
-                out.append(last[at - 1])
-                at -= len(self.token[last[at - 1]])
-            out.reverse()
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[piece] = out
+            return [self.rank[raw]]
+        last, out, at = self.last_tokens(raw), [], len(raw)
+        while at:
+            out.append(last[at - 1])
+            at -= len(self.token[last[at - 1]])
+        out.reverse()
         return out
 
     def split(self, text: str) -> list[str]:
         return self._split.findall(text)
 
     def encode(self, text: str | None) -> list[int]:
-        known, encode_piece = self._known, self.encode_piece
-        out: list[int] = []
-        for piece in self._split.findall(text or ""):
-            out += known.get(piece) or encode_piece(piece)
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self._split.findall(text or ""))))
 
     def append(self, pieces: list[str], more: str) -> list[str]:
         """Pieces of a text that grows: only its last piece can change."""
@@ -209,11 +214,11 @@ def encode_corpus(documents: DataFrame, blob: bytes, key: str = "doc_id", text:
     def encode(words: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        offsets, values = [0], []
+        offsets, values = [0], array("i")
         for x in batch.column(1).to_pylist():
-            values += words.encode(x)
+            values.extend(chain.from_iterable(map(words.pieces.__getitem__, words.split(x or ""))))
             offsets.append(len(values))
-        ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.array(values, dtype=np.int32)))
+        ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if values else np.zeros(0, dtype=np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return map_texts(documents, [key, text], encode, "doc_id long, ids array<int>", blob)
