@@ -95,10 +95,10 @@ def leave_one_out(votes: DataFrame, accuracy: DataFrame | None) -> DataFrame:
     right = (F.col("value") == F.col("best")) & (F.col("best_score") - F.col("w") >= F.col("second_score"))
     unopposed = (F.col("value") == F.col("best")) & F.col("second_score").isNull()
     judged = weighed.join(top, ["cell_id", "field_name"]).where("voters > 1").select("user_id", F.when(right | unopposed, 1.0).otherwise(0.0).alias("ok"))
-    tally = judged.groupBy("user_id").agg(F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("n_judged"))
-    mean = tally.agg((F.sum("ok") / F.sum("n_judged")).alias("mean"))
-    users = votes.select("user_id").distinct().join(tally, "user_id", "left").join(F.broadcast(mean))  # one row
-    ok, n, m = F.coalesce("ok", F.lit(0.0)), F.coalesce("n_judged", F.lit(0)), F.coalesce("mean", F.lit(0.8))
+    tally = cut_lineage(judged.groupBy("user_id").agg(F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("n_judged")))
+    mean = tally.agg(F.sum("ok") / F.sum("n_judged")).first()[0]
+    users = votes.select("user_id").distinct().join(tally, "user_id", "left")
+    ok, n, m = F.coalesce("ok", F.lit(0.0)), F.coalesce("n_judged", F.lit(0)), F.lit(0.8 if mean is None else mean)
     return users.select("user_id", ((ok + SMOOTHING * m) / (n + SMOOTHING)).alias("accuracy"), n.alias("n_judged"))
 
 
