@@ -96,10 +96,15 @@ def is_mixed(token: str, counts: dict[str, int]) -> bool:
     return len(counts) > 1 or (bool(counts) and next(iter(counts)) in ("han", "katakana") and any(c in STROKES for c in token))
 
 
+def taken_to(token: str, script: str) -> str:
+    """Look-alikes taken to a script; marks that now find their letter are composed with it."""
+    return unicodedata.normalize("NFC", token.translate(REPAIRS[script]))
+
+
 def repair(token: str) -> str:
     """Look-alikes taken to the dominant script of a mixed token."""
     counts = script_counts(token)
-    return token.translate(REPAIRS[dominant(counts)[0]]) if is_mixed(token, counts) else token
+    return taken_to(token, dominant(counts)[0]) if is_mixed(token, counts) else token
 
 
 def closed_variants(pairs: Iterable[tuple[str | None, str | None]]) -> dict[str, str]:
