@@ -169,8 +169,10 @@ def _left_out(words: list[str], entry: list[str]) -> int | None:
 class Matcher:
     """Maps one normalised value to (code, distance, how)."""
 
-    def __init__(self, spellings: dict[str, set[str]], normal: Normal):
+    def __init__(self, spellings: dict[str, set[str]], normal: Normal, labels: Iterable[str | None] = ()):
+        """``labels`` are the spellings that initials may stand for."""
         self.spellings, self.normal = spellings, normal
+        self.labels = {normal(x) for x in labels if x}
         self.tree = BKTree(sorted(spellings))
         self.known: dict[str, tuple] = {}
 
@@ -197,7 +199,7 @@ class Matcher:
             else:
                 entry = text.split()
                 gap = _left_out(words, entry)
-                if gap is None and len(words) == 1 and len(entry) > 1 and form == "".join(w[0] for w in entry):
+                if gap is None and text in self.labels and len(words) == 1 and len(entry) > 1 and form == "".join(w[0] for w in entry):
                     gap = 0
             if gap is not None:
                 for code in codes:
@@ -238,7 +240,7 @@ def map_values(df: DataFrame, column: str, entries: list[tuple], variants: dict[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         normal = Normal(variants)
-        matcher = Matcher(aliases(entries, normal), normal)
+        matcher = Matcher(aliases(entries, normal), normal, [e[2] for e in entries])
         for batch in batches:
             batch = batch[batch["raw"].map(lambda x: bool(visible(x)))].copy()
             codes, unique = pd.factorize(batch["raw"])
@@ -274,8 +276,8 @@ def nearest_in_shards(values: DataFrame, entries: DataFrame, shard_size: int = 2
     entries = entries.select("spelling", "code").where("spelling IS NOT NULL AND code IS NOT NULL").distinct()
     shards = max(1, math.ceil(entries.count() / shard_size))
     blocks = max(1, math.ceil(values.count() / block_size))
-    left = values.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
-    right = entries.select("spelling", "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64("spelling"), F.lit(shards)).alias("shard"))
+    left = values.select("value", F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
+    right = entries.select("spelling", "code", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.pmod(F.xxhash64("spelling"), F.lit(shards)).alias("shard"))
 
     def search(block: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         codes = shard.groupby("spelling")["code"].agg(set).to_dict()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.functions.text import REPAIRS, dominant, is_mixed, on_distinct, script_counts, variant_map, visible
+from inkledger.functions.text import dominant, is_mixed, on_distinct, script_counts, taken_to, variant_map, visible
 
 _READING = "struct<visible string, plain string, mixed boolean, repaired array<string>>"
 
@@ -30,7 +30,7 @@ def _readings(variants: dict[str, str]):
         seen = visible(text)
         counts = script_counts(seen)
         mixed = is_mixed(seen, counts)
-        repaired = list(dict.fromkeys(seen.translate(REPAIRS[s]).translate(table) for s in dominant(counts))) if mixed else []
+        repaired = list(dict.fromkeys(taken_to(seen, s).translate(table) for s in dominant(counts))) if mixed else []
         return seen, seen.translate(table), mixed, repaired
 
     @F.pandas_udf(_READING)
