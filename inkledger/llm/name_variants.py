@@ -67,19 +67,31 @@ def profiles_of(rows: DataFrame) -> DataFrame:
     return rows.withColumn("profile", F.when(F.col("core").isNotNull(), key))
 
 
+def with_spread(rows: DataFrame, year: str) -> DataFrame:
+    """``rows`` with the span of years among those of the same name: over one where there are
+    namesakes, 0 where no year is known."""
+    spans = rows.groupBy(F.col("core").alias("_core")).agg(F.coalesce(F.max(year) - F.min(year), F.lit(0)).alias("spread"))
+    return rows.join(spans, F.col("core") == F.col("_core"), "left").drop("_core")
+
+
 def linked_profiles(profiles: DataFrame, most: int = COMMON) -> DataFrame:
-    """Accepted ``(a, b, score)`` between distinct profiles (id, core, day, year, branch)."""
-    named = profiles.where(F.length("core") >= 2)
+    """Accepted ``(a, b, score)`` between distinct profiles (id, core, day, year, branch).
+
+    A name alone, without date or branch, links only where nobody of that name is of another
+    year: it must not bridge namesakes.
+    """
+    named = cut_lineage(with_spread(profiles.where(F.length("core") >= 2), "year"))
     tokens = named.select("id", F.explode(edge_tokens(F.col("core"))).alias("token"), F.col("year").cast("string").alias("y"), F.concat_ws("/", F.coalesce("day", F.lit("-")), F.coalesce("branch", F.lit("-"))).alias("d"))
     pairs = block_pairs(refined_blocks(tokens, most, "y", "d"))
-    side = lambda s: named.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "day", "year", "branch")])
+    side = lambda s: named.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "day", "year", "branch", "spread")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     c = lambda n: F.col(n)
     rest = day_weight(c("day_a"), c("day_b"), c("year_a"), c("year_b")) + equal_weight(c("branch_a"), c("branch_b"), 1.0, -1.0)
     both = both.withColumn("rest", rest).where(F.col("rest") + 3.5 >= ACCEPT)
     both = both.withColumn("ratio", name_similarity("core_a", "core_b"))
     both = both.withColumn("score", name_weight(c("ratio"), c("core_a"), c("core_b")) + c("rest"))
-    return both.where(F.col("score") >= ACCEPT).select("a", "b", "score", "ratio")
+    bridge = (c("rest") < 0.5) & (c("spread_a") > 1) & (c("day_a").isNull() | c("day_b").isNull())
+    return both.where((F.col("score") >= ACCEPT) & ~bridge).select("a", "b", "score", "ratio")
 
 
 def officer_score(pairs: DataFrame) -> DataFrame:
@@ -95,7 +107,8 @@ def officer_score(pairs: DataFrame) -> DataFrame:
         .otherwise(equal_weight(c("birth_year_a"), c("birth_year_b"), 1.0, -2.0))
     )
     shared = F.when(F.arrays_overlap("days_a", "days_b"), 1.0).otherwise(0.0)
-    rest = born + equal_weight(c("cohort_a"), c("cohort_b"), 0.75, -1.5) + shared + equal_weight(c("branch_a"), c("branch_b"), 0.5, -0.75)
+    misread = F.abs(c("cohort_a") - c("cohort_b")) == 10  # one digit of two
+    rest = born + F.when(misread, 0.0).otherwise(equal_weight(c("cohort_a"), c("cohort_b"), 0.75, -1.5)) + shared + equal_weight(c("branch_a"), c("branch_b"), 0.5, -0.75)
     return pairs.withColumn("score", named + rest)
 
 
