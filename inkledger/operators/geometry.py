@@ -132,3 +132,25 @@ def boxes_in_panels(boxes: DataFrame, panels: DataFrame) -> DataFrame:
     """Boxes inside their page's panels: x half-open, y closed."""
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     return boxes.join(panels, "page").where(inside)
+
+
+def page_payload(cells: DataFrame) -> DataFrame:
+    """Officers of a panel in reading order with their cells, and whether any needs review."""
+    cell = F.struct("field", "left", "right", "top", "bottom", "suspect")
+    officers = cells.groupBy("panel", "column").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.bool_or("suspect").alias("suspect"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("column", "cells"))), lambda o: o.cells)
+    return officers.groupBy("panel").agg(F.count(F.lit(1)).alias("officer_count"), F.bool_or("suspect").alias("needs_review"), listed.alias("officers"))
+
+
+def seniority_columns(boxes: DataFrame, top: float = 0.30, bottom: float = 0.55) -> DataFrame:
+    """Boxes of a panel assigned to the officer columns that seniority numbers anchor.
+
+    ``boxes`` has panel, box, x, y (as a share of the table's height), text, panel_width.  An
+    anchor is a box of digits in the seniority band; the pitch is the median step between
+    anchors, or half the panel for a single one; a box may belong to two columns.
+    """
+    anchors = boxes.where(F.col("text").rlike("^[0-9０-９]{1,4}$") & F.col("y").between(top, bottom)).select("panel", F.col("box").alias("anchor"), F.col("x").alias("centre"), F.translate("text", "０１２３４５６７８９", "0123456789").cast("int").alias("seniority"), "panel_width")
+    stepped = anchors.withColumn("step", F.col("centre") - F.lag("centre").over(Window.partitionBy("panel").orderBy("centre", "anchor")))
+    pitch = stepped.groupBy("panel").agg(F.coalesce(F.median("step"), F.max("panel_width") / 2).alias("pitch"))
+    both = boxes.join(anchors.drop("panel_width").join(pitch, "panel"), "panel")
+    return both.where(F.abs(F.col("x") - F.col("centre")) <= F.col("pitch") / 2).select("panel", "anchor", "seniority", "box", "x", "y", "text")

@@ -89,3 +89,15 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], text: str, size: i
 def section_survey(issues: DataFrame) -> DataFrame:
     """Per month: issues, extra issues, with structures, with the section, extra with it."""
     return issues.groupBy("month").agg(F.count(F.lit(1)).alias("issues"), F.count_if("extra").alias("extra"), F.count_if("structured").alias("structured"), F.count_if("section").alias("section"), F.count_if(F.col("section") & F.col("extra")).alias("extra_section"))
+
+
+def catalogue_records(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """Records of a catalogue answer whose payload is escaped XML: title with a fallback field,
+    and the identifier out of either shape of its address."""
+    text = F.col(xml)
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    records = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("(?s)<recordData>(.*?)</recordData>"), F.lit(1))).alias("record", "body"))
+    field = lambda tag: F.nullif(F.regexp_extract("body", f"(?s)<dc:{tag}>(.*?)</dc:{tag}>", 1), F.lit(""))
+    pid = F.coalesce(*[F.nullif(F.regexp_extract("body", shape, 1), F.lit("")) for shape in ("[:/]pid/([0-9]+)", "[?&]pid=([0-9]+)")])
+    return records.select(key, "record", F.coalesce(field("title"), field("alternative")).alias("title"), pid.alias("pid"))

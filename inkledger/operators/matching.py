@@ -97,3 +97,15 @@ def split_coverage(split: DataFrame, stratum: str) -> DataFrame:
     """Train and hold-out rows of every stratum, and whether it has no hold-out."""
     counted = split.groupBy(stratum).agg(F.count_if(F.col("use_flag") == "train").alias("train"), F.count_if(F.col("use_flag") == "holdout").alias("holdout"))
     return counted.withColumn("uncovered", F.col("holdout") == 0)
+
+
+def machine_readings(suggested: DataFrame, key: str, engine: str) -> DataFrame:
+    """Suggestions as rows of machine readings: the value stays what was read, what the lexicon
+    says goes into the provenance, and nothing is accepted by it."""
+    provenance = F.to_json(F.struct("best", "best_score", "margin", "status"))
+    return suggested.select(key, F.lit(engine).alias("engine"), F.col("reading").alias("value"), F.coalesce("best_score", F.lit(0.0)).alias("confidence"), provenance.alias("provenance"))
+
+
+def text_lines(df: DataFrame, text: str, boilerplate: str, least: int = 6) -> DataFrame:
+    """Lines that are text: not boilerplate; ``counted`` tells those long enough to be scored."""
+    return df.where(F.col(text).isNotNull() & ~F.col(text).rlike(boilerplate)).withColumn("counted", F.length(text) >= least)

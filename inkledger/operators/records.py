@@ -133,3 +133,23 @@ def constraint_violations(checks: Sequence[tuple[str, DataFrame, str, Column]])
         part = df.where(broken).groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("constraint_name"), "key", "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def swap_suggestions(df: DataFrame, key: str, text: str, variants: DataFrame) -> DataFrame:
+    """Variant swaps offered for a text: every table pair one side of which the text has, in both
+    directions, once for each text and in the order of first appearance."""
+    chars = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "")).alias("at", "from")).where(F.col("from") != "")
+    first = chars.groupBy(key, "from").agg(F.min("at").alias("at"))
+    pairs = variants.where("length(variant_char) = 1 AND length(canonical_char) = 1").select(F.col("variant_char").alias("v"), F.col("canonical_char").alias("c")).distinct()
+    both = pairs.select(F.col("v").alias("from"), F.col("c").alias("to")).unionByName(pairs.select(F.col("c").alias("from"), F.col("v").alias("to"))).distinct()
+    return first.join(both, "from").select(key, "at", "from", "to")
+
+
+def service_mismatch(day: Column, years: Column, months: Column, days: Column, edition: Column) -> Column:
+    """Days by which a rank's date plus elapsed service misses the edition's date."""
+    return F.date_diff(edition, F.date_add(F.add_months(day, years * 12 + months), days))
+
+
+def issue_pid(issue: Column, offset: int = 2956479) -> Column:
+    """Archive number of a gazette issue of the mid-1930s, whose numbers run in parallel."""
+    return issue + F.lit(offset)

@@ -79,6 +79,16 @@ def reading_order(spark, sf):
     return G.right_to_left(boxes, "panel", "x", "vec_id").select("vec_id", "panel", F.col("column").alias("place"))
 
 
+def page_payload(spark, sf):
+    return G.page_payload(cell_geometry(spark, sf)).select("panel", "officer_count", "needs_review", F.size("officers").alias("listed"))
+
+
+def seniority_columns(spark, sf):
+    n = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("panel"), n.alias("box"), ((n * 37) % 1000).cast("double").alias("x"), ((n * 13) % 100 / 100.0).alias("y"), F.when(n % 7 == 0, (n % 9000).cast("string")).otherwise(F.col("p_name")).alias("text"), F.lit(1000.0).alias("panel_width"))
+    return G.seniority_columns(rows).groupBy("panel", "anchor", "seniority").agg(F.count(F.lit(1)).alias("boxes"))
+
+
 QUERIES = {f.__name__: f for f in (nearest_band, register_panels, classify_template, column_edges, cell_geometry, region_urls, point_map, box_binning, panel_boxes, reading_order)}
 
 _T = "(VALUES " + ", ".join(f"('{t}', {i}, CAST({n} AS DOUBLE))" for t, ns in TEMPLATES.items() for i, n in enumerate(ns)) + ") t(template_id, band, nominal)"
@@ -104,3 +114,13 @@ SQL = {
     "panel_boxes": f"SELECT panel AS page, side, count(*) AS boxes FROM ({_BOX}) b, (VALUES (0), (1)) s(side) WHERE panel < 10 AND x >= -0.2 + 0.2 * side AND x < 0.2 * side AND y BETWEEN -0.15 AND 0.15 GROUP BY ALL",
     "reading_order": f"SELECT vec_id, panel, CAST(row_number() OVER (PARTITION BY panel ORDER BY x DESC, vec_id) - 1 AS INTEGER) AS place FROM ({_BOX}) b WHERE vec_id % 5 = 0",
 }
+
+for _query in (page_payload, seniority_columns,):
+    QUERIES[_query.__name__] = _query
+SQL |= {
+    "page_payload": """SELECT panel, n AS officer_count, true AS needs_review, CAST(n AS INTEGER) AS listed FROM (SELECT p_brand AS panel, count(DISTINCT p_size) - 1 AS n FROM part GROUP BY p_brand) x WHERE n > 0""",
+    "seniority_columns": """WITH b AS (SELECT p_brand || '/' || p_type AS panel, p_partkey AS box, CAST((p_partkey * 37) % 1000 AS DOUBLE) AS x, ((p_partkey * 13) % 100) / 100.0::DOUBLE AS y, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey % 9000 AS VARCHAR) ELSE p_name END AS text FROM part),
+ a AS (SELECT panel, box AS anchor, x AS centre, CAST(text AS INTEGER) AS seniority FROM b WHERE regexp_matches(text, '^[0-9]{1,4}$') AND y BETWEEN 0.30 AND 0.55),
+ p AS (SELECT panel, coalesce(median(step), 500.0) AS pitch FROM (SELECT panel, centre - lag(centre) OVER (PARTITION BY panel ORDER BY centre, anchor) AS step FROM a) s GROUP BY panel)
+ SELECT a.panel, anchor, seniority, count(*) AS boxes FROM a JOIN p USING (panel) JOIN b ON b.panel = a.panel AND abs(b.x - a.centre) <= pitch / 2 GROUP BY ALL""",
+}

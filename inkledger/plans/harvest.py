@@ -83,6 +83,14 @@ def section_survey(spark, sf):
     return H.section_survey(rows.select(F.date_format("fetched_at", "yyyy-MM").alias("month"), (text.contains("WEBVTT") | text.contains("webvtt")).alias("extra"), text.contains("-->").alias("structured"), text.rlike("[0-9]{2}:[0-9]{2}:[0-9]{2}").alias("section")))
 
 
+def catalogue_records(spark, sf):
+    odd = F.col("pid").cast("int") % 2 == 1
+    title = F.when(odd, F.concat(F.lit("&lt;dc:title&gt;"), F.col("title"), F.lit("&lt;/dc:title&gt;"))).otherwise(F.concat(F.lit("&lt;dc:alternative&gt;"), F.col("title"), F.lit("&lt;/dc:alternative&gt;")))
+    address = F.when(odd, F.concat(F.lit("info:x/pid/"), F.col("pid"))).otherwise(F.concat(F.lit("https://x.example/show?pid="), F.col("pid")))
+    xml = F.concat(F.lit("<records><recordData>"), title, F.lit("&lt;id&gt;"), address, F.lit("&lt;/id&gt;</recordData></records>"))
+    return H.catalogue_records(table(spark, sf, "source_volume").select("volume_id", xml.alias("xml")), "volume_id", "xml").select("volume_id", "title", "pid")
+
+
 QUERIES = {f.__name__: f for f in (manifest_flatten, manifest_sections, volume_labels, full_text, feed_first_of_month, issue_walk, contents_frames, block_split, line_chunks, section_survey)}
 
 _F = "SELECT volume_id, frame_no, row_number() OVER (PARTITION BY volume_id ORDER BY frame_no) AS k FROM (SELECT DISTINCT split_part(cell_id, ':', 1) AS volume_id, CAST(split_part(cell_id, ':', 2) AS INTEGER) AS frame_no FROM observation) d"
@@ -101,3 +109,9 @@ SQL = {
     "section_survey": """SELECT strftime(fetched_at, '%Y-%m') AS month, count(*) AS issues, count(*) FILTER (e) AS extra, count(*) FILTER (s) AS structured, count(*) FILTER (c) AS section, count(*) FILTER (c AND e) AS extra_section
  FROM (SELECT fetched_at, contains(coalesce(text, ''), 'WEBVTT') OR contains(coalesce(text, ''), 'webvtt') AS e, contains(coalesce(text, ''), '-->') AS s, regexp_matches(coalesce(text, ''), '[0-9]{2}:[0-9]{2}:[0-9]{2}') AS c FROM documents WHERE fetched_at IS NOT NULL) x GROUP BY 1""",
 }
+
+for _query in (catalogue_records,):
+    QUERIES[_query.__name__] = _query
+SQL |= {
+    "catalogue_records": """SELECT volume_id, title, pid FROM source_volume""",
+}

@@ -120,6 +120,21 @@ def constraint_violations(spark, sf):
     )
 
 
+def swap_suggestions(spark, sf):
+    names = table(spark, sf, "observation_in").select("obs_id", "name_raw").distinct()
+    return R.swap_suggestions(names, "obs_id", "name_raw", table(spark, sf, "kanji_variant"))
+
+
+def service_check(spark, sf):
+    day, edition = F.col("commissioning_date").cast("date"), F.col("as_of_date").cast("date")
+    months = F.floor(F.months_between(edition, day)).cast("int")
+    rest = F.date_diff(edition, F.add_months(day, months))
+    rows = table(spark, sf, "observation").where("commissioning_date IS NOT NULL AND seniority_no IS NOT NULL")
+    written = rest + F.when(F.col("seniority_no") % 13 == 0, 3).otherwise(0)
+    missed = R.service_mismatch(day, F.floor(months / 12).cast("int"), months % 12, written.cast("int"), edition)
+    return rows.select("obs_id", missed.alias("days_off"), R.issue_pid(F.col("seniority_no")).alias("pid")).distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -169,3 +184,11 @@ SQL = {
  UNION ALL SELECT 'own_or_propagated', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE propagated_from = obs_id GROUP BY obs_id
  UNION ALL SELECT 'one_link', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE person_id IS NULL AND propagated_from IS NOT NULL GROUP BY obs_id""",
 }
+
+for _query in (swap_suggestions, service_check,):
+    QUERIES[_query.__name__] = _query
+SQL |= {
+    "swap_suggestions": """SELECT obs_id, CAST(min(i) AS INTEGER) AS "at", c AS "from", t AS "to" FROM (SELECT obs_id, i - 1 AS i, substr(name_raw, CAST(i AS BIGINT), 1) AS c FROM (SELECT obs_id, name_raw, unnest(range(1, length(name_raw) + 1)) AS i FROM (SELECT DISTINCT obs_id, name_raw FROM observation_in WHERE name_raw IS NOT NULL) d) e) x
+ JOIN (SELECT variant_char AS f, canonical_char AS t FROM kanji_variant WHERE length(variant_char) = 1 AND length(canonical_char) = 1 UNION SELECT canonical_char, variant_char FROM kanji_variant WHERE length(variant_char) = 1 AND length(canonical_char) = 1) p ON x.c = p.f GROUP BY obs_id, c, t""",
+    "service_check": """SELECT DISTINCT obs_id, CASE WHEN seniority_no % 13 = 0 THEN -3 ELSE 0 END AS days_off, seniority_no + 2956479 AS pid FROM observation WHERE commissioning_date IS NOT NULL AND seniority_no IS NOT NULL""",
+}

@@ -117,6 +117,16 @@ def split_coverage(spark, sf):
     return M.split_coverage(_split(spark, sf), "as_of_date")
 
 
+def machine_readings(spark, sf):
+    return M.machine_readings(lexicon_suggest_lev(spark, sf), "reading", "lexicon").select("reading", "engine", "value", "confidence")
+
+
+def text_line_filter(spark, sf):
+    lines = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    kept = M.text_lines(lines, "line", "-->|^[0-9]+\\r?$|^\\r?$")
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("counted").alias("counted"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -159,3 +169,9 @@ SQL = {
     "holdout_split": f"SELECT obs_id, academy_id, use_flag FROM ({_HOLD}) h",
     "split_coverage": f"SELECT as_of_date, count(*) FILTER (use_flag = 'train') AS train, count(*) FILTER (use_flag = 'holdout') AS holdout, count(*) FILTER (use_flag = 'holdout') = 0 AS uncovered FROM ({_HOLD}) h GROUP BY as_of_date",
 }
+
+for _query in (machine_readings, text_line_filter,):
+    QUERIES[_query.__name__] = _query
+SQL |= {
+    "text_line_filter": """SELECT doc_id, count(*) AS lines, count(*) FILTER (length(line) >= 6) AS counted FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) x WHERE NOT regexp_matches(line, '-->|^[0-9]+\\r?$|^\\r?$') GROUP BY doc_id""",
+}
