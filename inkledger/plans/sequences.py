@@ -10,22 +10,23 @@ from inkledger.operators import sequences as S
 from inkledger.session import table
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each roster row of a page: the reading created last."""
-    rows = R.cell_parts(table(spark, sf, "observation")).select("page_id", "row_index", "volume_id", "frame_no", "seniority_no", "rank_code", "branch_code", "post", "created_at", "obs_id")
+def pages(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """One row for each roster row of a page, the reading created last, with the named columns
+    only: what is packed to pick the row cannot be pruned afterwards."""
+    rows = R.cell_parts(table(spark, sf, "observation")).select("page_id", "row_index", *columns, "created_at", "obs_id")
     return R.last_by(rows, ["page_id", "row_index"], ["created_at", "obs_id"])
 
 
 def sequence_breaks(spark, sf):
-    return S.sequence_breaks(pages(spark, sf), ["page_id"], ["row_index"], "seniority_no").select("page_id", "row_index", "seniority_no", "previous")
+    return S.sequence_breaks(pages(spark, sf, "seniority_no"), ["page_id"], ["row_index"], "seniority_no").select("page_id", "row_index", "seniority_no", "previous")
 
 
 def sequence_audit(spark, sf):
-    return S.sequence_audit(pages(spark, sf), ["page_id"], ["row_index"], "seniority_no", 20)
+    return S.sequence_audit(pages(spark, sf, "seniority_no"), ["page_id"], ["row_index"], "seniority_no", 20)
 
 
 def gap_clusters(spark, sf):
-    return S.gap_clusters(pages(spark, sf), ["page_id"], "seniority_no", "row_index", 60, 5).groupBy("page_id").agg(F.max("cluster").alias("columns"), F.count(F.lit(1)).alias("boxes"))
+    return S.gap_clusters(pages(spark, sf, "seniority_no"), ["page_id"], "seniority_no", "row_index", 60, 5).groupBy("page_id").agg(F.max("cluster").alias("columns"), F.count(F.lit(1)).alias("boxes"))
 
 
 def line_clusters(spark, sf):
@@ -41,7 +42,7 @@ def longest_regular_run(spark, sf):
 
 
 def gap_fill(spark, sf):
-    return S.fill_gaps(pages(spark, sf), ["page_id"], "seniority_no", 12)
+    return S.fill_gaps(pages(spark, sf, "seniority_no"), ["page_id"], "seniority_no", 12)
 
 
 def truncated_repair(spark, sf):
@@ -50,7 +51,7 @@ def truncated_repair(spark, sf):
 
 
 def carry_forward(spark, sf):
-    rows = pages(spark, sf).withColumn("rank_code", F.when(F.col("row_index") % 3 != 0, "").otherwise(F.col("rank_code"))).withColumn("branch_code", F.when(F.col("row_index") % 2 != 0, F.lit(None)).otherwise(F.col("branch_code")))
+    rows = pages(spark, sf, "rank_code", "branch_code").withColumn("rank_code", F.when(F.col("row_index") % 3 != 0, "").otherwise(F.col("rank_code"))).withColumn("branch_code", F.when(F.col("row_index") % 2 != 0, F.lit(None)).otherwise(F.col("branch_code")))
     return S.carried_forward(rows, ["page_id"], ["row_index"], ["rank_code", "branch_code"]).select("page_id", "row_index", "rank_code_carried", "branch_code_carried")
 
 
@@ -60,7 +61,7 @@ def next_unread(spark, sf):
 
 
 def page_number_model(spark, sf):
-    anchors = pages(spark, sf).where("seniority_no IS NOT NULL").groupBy("volume_id", "frame_no").agg(F.min("seniority_no").cast("double").alias("page"))
+    anchors = pages(spark, sf, "volume_id", "frame_no", "seniority_no").where("seniority_no IS NOT NULL").groupBy("volume_id", "frame_no").agg(F.min("seniority_no").cast("double").alias("page"))
     return S.page_number_model(anchors, ["volume_id"], "frame_no", "page")
 
 
