@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions.text import dominant, is_mixed, on_distinct, script_counts, taken_to, variant_map, visible
+from inkledger.session import cut_lineage
 
 _READING = "struct<visible string, plain string, mixed boolean, repaired array<string>>"
 
@@ -52,7 +53,7 @@ def unify(df: DataFrame, column: str, kanji_variant: DataFrame, corpus: DataFram
     """``df`` with ``form`` and ``evidence``; the vocabulary comes from ``corpus`` (one text
     column of that name) or from ``df`` itself."""
     read = _readings(variant_map(kanji_variant))
-    rows = df.withColumn("_r", read(F.col(column)))
+    rows = cut_lineage(df.withColumn("_r", read(F.col(column))))  # read once, used in every branch below
     words = (corpus.withColumn("_r", read(F.col(column))) if corpus is not None else rows).select("_r.*")
     lexicon = words.where("NOT mixed AND plain <> ''").groupBy("plain").agg(F.count(F.lit(1)).alias("seen"))
     mixed = words if corpus is None else rows.select("_r.*")
