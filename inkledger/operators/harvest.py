@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions.readings import contents_entry
+from inkledger.operators.sequences import spread_numbers
 
 MANIFEST = "struct<label:string, sequences:array<struct<canvases:array<struct<label:string, width:int, height:int, images:array<struct<resource:struct<`@id`:string, service:struct<`@id`:string>>>>>>>>, structures:array<struct<label:string, canvases:array<string>>>>"
 BOXES = "array<struct<xmin:int, xmax:int, ymin:int, ymax:int, contenttext:string>>"
@@ -79,9 +80,8 @@ def text_blocks(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], text: str, size: int = 15) -> DataFrame:
-    """Lines joined to chunks of a fixed number, in order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("_n", F.row_number().over(window) - 1).withColumn("chunk", F.floor(F.col("_n") / size))
+    """Lines joined to chunks of a fixed number, in order; keys may not be null."""
+    numbered = spread_numbers(df, keys, order, "_n").withColumn("chunk", F.floor(F.col("_n") / size))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda s: s[text]), "\n")
     return numbered.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("lines"), joined.alias("body"))
 

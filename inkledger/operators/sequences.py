@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkledger.session import cut_lineage
+
 
 def sequence_breaks(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value is not above the previous non-null one; nulls are transparent.
@@ -125,3 +127,19 @@ def page_number_model(df: DataFrame, keys: list[str], frame: str, page: str) ->
 def ordinals(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows with the number of earlier rows of the same identity (from 0)."""
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def spread_numbers(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int = 0) -> DataFrame:
+    """Place (from 0) of every row within its key, for keys of any size.
+
+    Rows are range-partitioned by key and order, so a hot key lies in many partitions; each
+    numbers its own rows, and the rows of a key in the partitions before it are added.  The
+    partitioning is written once, as a second sampling could put rows elsewhere.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*keys, "_part", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return placed.withColumn("_own", own).join(offsets, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")

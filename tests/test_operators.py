@@ -57,6 +57,14 @@ def test_carry_forward_and_gaps(spark):
     assert [(r.v, r.interpolated) for r in filled] == [(3, False), (4, True), (5, True), (6, False), (20, False)]
 
 
+def test_numbers_of_a_hot_key(spark):
+    df = spark.range(5000).selectExpr("IF(id % 10 = 0, 'cold', 'hot') AS k", "id * 7919 % 5003 AS v")
+    got = S.spread_numbers(df, ["k"], ["v"], "n", parts=7)
+    want = df.selectExpr("k", "v", "row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS n")
+    assert got.select("k", "v", "n").exceptAll(want).isEmpty() and got.count() == 5000
+    assert S.spread_numbers(df.limit(0), ["k"], ["v"], "n").count() == 0
+
+
 def test_margins(spark):
     cases = [(1.0, 0.75, "PROBABLE"), (0.95, 0.94, "AMBIGUOUS"), (0.444, None, "NO_MATCH"), (1.0, None, "PROBABLE"), (0.95, 0.80, "AMBIGUOUS")]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, b double, r double, s string")
