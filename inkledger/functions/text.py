@@ -101,10 +101,23 @@ def taken_to(token: str, script: str) -> str:
     return unicodedata.normalize("NFC", token.translate(REPAIRS[script]))
 
 
-def repair(token: str) -> str:
-    """Look-alikes taken to the dominant script of a mixed token."""
+def repairs(token: str) -> list[str]:
+    """What a mixed token may stand for, best first; empty for a token of one script.
+
+    A script in which the whole token comes out pure goes before one that leaves letters over,
+    then the more frequent one: a Latin name half written in Cyrillic look-alikes is Latin, for
+    the rest of its letters have no Cyrillic twin.
+    """
     counts = script_counts(token)
-    return taken_to(token, dominant(counts)[0]) if is_mixed(token, counts) else token
+    if not is_mixed(token, counts):
+        return []
+    taken = [taken_to(token, script) for script in dominant(counts)]
+    return list(dict.fromkeys(sorted(taken, key=lambda t: len(script_counts(t)) > 1)))
+
+
+def repair(token: str) -> str:
+    """Look-alikes taken to the script that a mixed token is of."""
+    return next(iter(repairs(token)), token)
 
 
 def closed_variants(pairs: Iterable[tuple[str | None, str | None]]) -> dict[str, str]:
