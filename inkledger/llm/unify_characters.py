@@ -1,10 +1,10 @@
 """Text that looks the same brought to one form: script-aware repair against the corpus.
 
 The dominant script of each token is determined; only tokens of mixed script are repaired, by
-look-alikes of the scripts they hold, most frequent script first.  A repaired token is taken if
+look-alikes of the scripts they hold, first the script in which the whole token comes out pure.  A repaired token is taken if
 the corpus has it as a token of one script (evidence ``word``), else if the corpus has all its
-pairs of neighbouring characters that the repair touched (``pairs``), else the dominant script
-decides (``script``); tokens of one script stay as they are (``none``).  Compatibility forms,
+pairs of neighbouring characters that the repair touched (``pairs``), else the first
+such script decides (``script``); tokens of one script stay as they are (``none``).  Compatibility forms,
 white space, invisible characters and the variant table are dealt with on the way.
 
 Null stays null, blank becomes ''; texts are processed whole; an empty table gives an empty one.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.functions.text import dominant, is_mixed, on_distinct, script_counts, taken_to, variant_map, visible
+from inkledger.functions.text import is_mixed, on_distinct, repairs, script_counts, variant_map, visible
 from inkledger.session import cut_lineage
 
 _READING = "struct<visible string, plain string, mixed boolean, repaired array<string>>"
@@ -31,7 +31,7 @@ def _readings(variants: dict[str, str]):
         seen = visible(text)
         counts = script_counts(seen)
         mixed = is_mixed(seen, counts)
-        repaired = list(dict.fromkeys(taken_to(seen, s).translate(table) for s in dominant(counts))) if mixed else []
+        repaired = list(dict.fromkeys(t.translate(table) for t in repairs(seen)))
         return seen, seen.translate(table), mixed, repaired
 
     @F.pandas_udf(_READING)
