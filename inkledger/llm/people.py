@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from inkledger.functions.notations import _ERA, _NUM, _DIGITS, _ERA_OF, any_day, number, tidy
-from inkledger.functions.text import form_of, on_distinct
+from inkledger.functions.text import form_of, on_distinct, repair, visible
 from inkledger.llm.canonical_values import UNMATCHED, Matcher, Normal, aliases
 from inkledger.session import cut_lineage
 
@@ -56,6 +56,56 @@ def kana_key(text: str) -> str | None:
     return kana or None
 
 
+#: Hepburn syllables, in the order of the kana they stand for.
+_ROMAN = {
+    "kya": "キヤ", "kyu": "キユ", "kyo": "キヨ", "sha": "シヤ", "shu": "シユ", "sho": "シヨ", "cha": "チヤ", "chu": "チユ", "cho": "チヨ", "nya": "ニヤ", "nyu": "ニユ", "nyo": "ニヨ",
+    "hya": "ヒヤ", "hyu": "ヒユ", "hyo": "ヒヨ", "mya": "ミヤ", "myu": "ミユ", "myo": "ミヨ", "rya": "リヤ", "ryu": "リユ", "ryo": "リヨ", "gya": "キヤ", "gyu": "キユ", "gyo": "キヨ",
+    "bya": "ヒヤ", "byu": "ヒユ", "byo": "ヒヨ", "shi": "シ", "chi": "チ", "tsu": "ツ", "ja": "シヤ", "ju": "シユ", "jo": "シヨ", "ji": "シ", "fu": "フ",
+}
+_ROWS = {"": "アイウエオ", "k": "カキクケコ", "s": "サシスセソ", "t": "タチツテト", "n": "ナニヌネノ", "h": "ハヒフヘホ", "m": "マミムメモ", "r": "ラリルレロ", "g": "カキクケコ", "z": "サシスセソ", "d": "タチツテト", "b": "ハヒフヘホ", "p": "ハヒフヘホ"}
+_ROMAN |= {c + v: kana[i] for c, kana in _ROWS.items() for i, v in enumerate("aiueo") if c + v not in ("si", "ti", "tu", "hu", "zi")} | {"ya": "ヤ", "yu": "ユ", "yo": "ヨ", "wa": "ワ", "n": "ン"}
+
+
+def short_vowels(kana: str) -> str:
+    """Long vowels written short: オウ, オオ and ウウ as one, since Latin spellings drop them."""
+    out = ""
+    for c in kana:
+        if out and c in "ウオ" and out[-1] in "オコソトノホモヨロ" or out and c == "ウ" and out[-1] in "ウクスツヌフムユル":
+            continue
+        out += c
+    return out
+
+
+def roman_kana(word: str) -> str | None:
+    """Folded kana of a romanised word; None if it is none."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if c.isascii() and c.isalpha())
+    out, at = "", 0
+    while at < len(plain):
+        for size in (3, 2, 1):
+            if kana := _ROMAN.get(plain[at : at + size]):
+                out, at = out + kana, at + size
+                break
+        else:
+            if plain[at : at + 2] and plain[at] == plain[at + 1 : at + 2]:
+                at += 1  # a doubled consonant
+                out += "ツ"
+            else:
+                return None
+    return out or None
+
+
+def latin_readings(text: str) -> list[str]:
+    """Folded readings a romanised name may stand for: family and given name in both orders;
+    none where one of them is an initial, which says too little."""
+    words = [repair(visible(w)) for w in re.split(r"[\s,]+", unicodedata.normalize("NFKC", text)) if visible(w)]
+    if len(words) != 2 or any(len(w.strip(".")) < 2 or not _LATIN.search(w) for w in words):
+        return []
+    kana = [roman_kana(w) for w in words]
+    if None in kana:
+        return []
+    return sorted({short_vowels(kana[0] + kana[1]), short_vowels(kana[1] + kana[0])})
+
+
 _YEAR = re.compile("(?:" + _ERA + " ?)?" + _NUM + "(?:[、,.・/ -]|年|$)")
 
 
@@ -97,13 +147,24 @@ def name_fields(column: str, variants: dict[str, str]) -> Column:
 
 
 def reading_fields(column: str, variants: dict[str, str]) -> Column:
-    """``struct<form string, kana string>`` of a reading column."""
+    """``struct<form string, kana string, said string>`` of a reading column; ``said`` has its long
+    vowels short, as romanised names are compared."""
     table = str.maketrans(variants)
 
-    @F.pandas_udf("form string, kana string")
+    @F.pandas_udf("form string, kana string, said string")
     def run(values: pd.Series) -> pd.DataFrame:
-        found = on_distinct(values, lambda x: (form_of(x, table), kana_key(x)))
-        return pd.DataFrame([x if x is not None else (None, None) for x in found], columns=["form", "kana"])
+        found = on_distinct(values, lambda x: (form_of(x, table), k := kana_key(x), short_vowels(k) if k else None))
+        return pd.DataFrame([x if x is not None else (None, None, None) for x in found], columns=["form", "kana", "said"])
+
+    return run(F.col(column))
+
+
+def romanised(column: str) -> Column:
+    """Folded readings of a romanised name, an empty array for any other."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return on_distinct(values, lambda x: latin_readings(x) if _LATIN.search(x) or not x.isascii() else [])
 
     return run(F.col(column))
 
@@ -200,7 +261,8 @@ kana_similarity = _pair_udf(kana_ratio)
 
 
 def readings(observation_in: DataFrame, variants: dict[str, str], branches: list[tuple]) -> DataFrame:
-    """One row for each reading: obs_id, cell, form, core, day, year, branch.
+    """One row for each reading: obs_id, cell, form, core, latin (readings of a romanised name), day,
+    year, branch.
 
     Day and branch are those most readers of the cell give (of equals the larger), so that one
     slip does not part a cell; a reading without a full cell key is a cell of its own.
@@ -211,16 +273,17 @@ def readings(observation_in: DataFrame, variants: dict[str, str], branches: list
         "obs_id",
         F.when(full, F.concat_ws(":", "volume_id", "frame_no", "row_index")).otherwise(F.concat(F.lit("#"), F.col("obs_id"))).alias("cell"),
         name_fields("name_raw", variants).alias("n"),
+        romanised("name_raw").alias("latin"),
         any_day(F.col("commissioning_date"), F.col("context_era")).alias("day"),
         years(F.col("commissioning_date"), F.col("context_era")).alias("year"),
         branch_of("branch_code", branches, variants).alias("branch"),
-    ).select("obs_id", "cell", "n.form", "n.core", "day", "year", "branch")
+    ).select("obs_id", "cell", "n.form", "n.core", "latin", "day", "year", "branch")
     rows = cut_lineage(rows)
     votes = rows.select("cell", F.explode(F.array(F.struct(F.lit("day").alias("f"), F.col("day").alias("v")), F.struct(F.lit("year").alias("f"), F.col("year").cast("string").alias("v")), F.struct(F.lit("branch").alias("f"), F.col("branch").alias("v")))).alias("x"))
     votes = votes.where("x.v IS NOT NULL").groupBy("cell", "x.f", "x.v").agg(F.count(F.lit(1)).alias("n"))
     top = votes.groupBy("cell").agg(*[F.max(F.when(F.col("f") == f, F.struct("n", "v"))).alias(f) for f in ("day", "year", "branch")])
     top = top.select("cell", F.col("day.v").alias("day"), F.coalesce(F.substring("day.v", 1, 4), F.col("year.v")).cast("int").alias("year"), F.col("branch.v").alias("branch"))
-    return rows.select("obs_id", "cell", "form", "core").join(top, "cell", "left")
+    return rows.select("obs_id", "cell", "form", "core", "latin").join(top, "cell", "left")
 
 
 def printed(officers: DataFrame, variants: dict[str, str], branches: list[tuple]) -> DataFrame:
@@ -238,4 +301,4 @@ def printed(officers: DataFrame, variants: dict[str, str], branches: list[tuple]
     )
     listed = rows.select("officer_id", F.explode("dates").alias("d")).select("officer_id", any_day(F.col("d")).alias("day"), years(F.col("d")).alias("year"))
     dated = listed.groupBy("officer_id").agg(F.collect_set("day").alias("days"), F.collect_set("year").alias("years"))
-    return base.join(dated, "officer_id", "left").select("officer_id", "n.form", "n.core", F.col("r.form").alias("reading_form"), "r.kana", "cohort", "days", "years", "birth", "birth_year", "branch")
+    return base.join(dated, "officer_id", "left").select("officer_id", "n.form", "n.core", F.col("r.form").alias("reading_form"), "r.kana", "r.said", "cohort", "days", "years", "birth", "birth_year", "branch")
