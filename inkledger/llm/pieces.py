@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from inkledger.llm.tokens import Remembered, Vocabulary, map_texts
 
 LIMIT, OVERLAP = 1024, 96
+#: Characters after which an output batch is handed on.
+BATCH_CHARS = 4_000_000
 #: Characters that end a sentence, and those that may follow before the cut.
 _ENDS, _CLOSERS = ".?!。！？…｡", "\"'”’」』)）]"
 #: Longest undivided unit, in characters, of a run without boundaries.
@@ -152,13 +154,22 @@ def split_oversized(documents: DataFrame, blob: bytes, limit: int = LIMIT, overl
     if not 0 <= 2 * overlap < limit or limit < 4 * _UNIT:
         raise ValueError("the overlap must be under half the limit, and the limit no smaller than 256")
 
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def filled(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "first_char", "end_char", "n_tokens", "text"])
+
     def split(words: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text:
+        held = 0
+        for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if text := x.as_py():
                 out += [(doc_id, k, a, b, n, text[a:b]) for k, (a, b, n) in enumerate(cut(words, text, limit, overlap))]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        columns = list(zip(*out)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "first_char", "end_char", "n_tokens", "text"])
+                held += len(text)
+            if held >= BATCH_CHARS:
+                yield filled(out)
+                out, held = [], 0
+        yield filled(out)
 
     return map_texts(documents, ["doc_id", "text"], split, "doc_id long, piece int, first_char long, end_char long, n_tokens long, text string", blob)

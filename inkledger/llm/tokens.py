@@ -30,6 +30,9 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longest piece, in characters, and number of pieces that a worker remembers.
 REMEMBERED_LENGTH, REMEMBERED = 64, 400_000
+#: Ids after which an output batch is handed on, however many texts are left: texts differ a
+#: thousandfold in length, so a number of rows bounds no memory.
+BATCH_IDS = 500_000
 
 
 class Remembered(dict):
@@ -214,11 +217,18 @@ def encode_corpus(documents: DataFrame, blob: bytes, key: str = "doc_id", text:
     def encode(words: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        offsets, values = [0], array("i")
-        for x in batch.column(1).to_pylist():
-            values.extend(chain.from_iterable(map(words.pieces.__getitem__, words.split(x or ""))))
+        def filled(first: int, end: int) -> pa.RecordBatch:
+            ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if values else np.zeros(0, dtype=np.int32)))
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), ids], names=["doc_id", "ids"])
+
+        first, offsets, values = 0, [0], array("i")
+        for at, x in enumerate(batch.column(1)):
+            values.extend(chain.from_iterable(map(words.pieces.__getitem__, words.split(x.as_py() or ""))))
             offsets.append(len(values))
-        ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.frombuffer(values, dtype=np.int32) if values else np.zeros(0, dtype=np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            if len(values) >= BATCH_IDS:
+                yield filled(first, at + 1)
+                first, offsets, values = at + 1, [0], array("i")
+        if len(offsets) > 1:
+            yield filled(first, batch.num_rows)
 
     return map_texts(documents, [key, text], encode, "doc_id long, ids array<int>", blob)
