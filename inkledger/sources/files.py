@@ -68,7 +68,7 @@ def templates(spark: SparkSession, folder: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def stripped_rows(df: DataFrame) -> DataFrame:

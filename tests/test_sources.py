@@ -93,3 +93,16 @@ def test_streams(spark, tmp_path):
     assert run(progress_stream(readings), "complete", "progress").agg({"readings": "sum"}).first()[0] == n
     assert run(sessions_stream(readings), "append", "sessions").columns
     assert run(breaks_stream(readings), "append", "breaks").where("seniority_no > previous").count() == 0
+
+
+def test_folders_of_files(spark, tmp_path):
+    chunks = spark.createDataFrame([("v1", 0, "a\nb"), ("v1", 1, "c"), ("v2", 0, "d")], "volume string, chunk int, body string")
+    sinks.chunk_files(chunks, str(tmp_path / "t"), "volume", "chunk", "body")
+    texts = files.whole_texts(spark, str(tmp_path / "t" / "volume=*" / "chunk=*"))
+    assert sorted(r.text.strip() for r in texts.collect()) == ["a\nb", "c", "d"]
+    sinks.export_json(chunks, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
+    sinks.export_folder(chunks, str(tmp_path / "c"), "volume")
+    assert spark.read.option("header", True).csv(str(tmp_path / "c" / "volume=v2")).count() == 1
+    html = spark.createDataFrame([("<a href='/x/y.PDF'>z</a>",), ("none",)], "html string")
+    assert [r[0] for r in html.select(files.pdf_path("html")).collect()] == ["/x/y.PDF", None]

@@ -20,3 +20,21 @@ from inkledger.functions.text import repair
 )
 def test_script_of_a_mixed_token(token, form):
     assert repair(token) == form
+
+
+def test_labels_entries_and_boxes(spark):
+    from pyspark.sql import functions as F
+
+    from inkledger.functions import readings as T
+
+    rows = [("官報 1922年04月03日", "叙任/12 (0007.jp2)"), ("1922年13月03日", "目次 (0001.jp2)"), ("x", "目次 (1.png)"), (None, None)]
+    df = spark.createDataFrame(rows, "label string, entry string")
+    got = [(str(r.d) if r.d else None, tuple(r.e)) for r in df.select(T.label_date("label").alias("d"), T.contents_entry("entry").alias("e")).collect()]
+    assert got == [("1922-04-03", ("叙任", 12, 7)), (None, ("目次", None, 1)), (None, (None, None, None)), (None, (None, None, None))]
+    boxes = [("540", 0.4, 10.0, "seniority"), ("540", 0.9, 10.0, "foot"), ("明三三、八、二", 0.5, 10.0, "date"), ("勲四", 0.5, 10.0, "honours"), ("ヤマダ", 0.5, 10.0, "reading"), ("第一支所長", 0.5, 10.0, "post"), ("山田太郎", 0.5, 14.0, "name"), ("山田太郎", 0.5, 10.0, "other"), ("山", 0.05, 10.0, "head")]
+    df = spark.createDataFrame(boxes, "t string, y double, w double, k string")
+    assert all(r.x == r.k for r in df.select("k", T.box_class(F.col("t"), F.col("y"), F.col("w"), F.lit(10.0)).alias("x")).collect())
+    numbers = spark.createDataFrame([("５４０", 540, None), ("54x", None, "not a plain number"), (None, None, "not a plain number")], "t string, v long, r string")
+    assert all((r.p.value, r.p.reason) == (r.v, r.r) for r in numbers.select("v", "r", T.plain_number(F.col("t")).alias("p")).collect())
+    marks = spark.createDataFrame([("山（注）田[?]〓、 太郎A1", "山田太郎A1"), (None, None)], "t string, s string")
+    assert [r.x for r in marks.select(T.strip_marks("t").alias("x")).collect()][1] is None
