@@ -75,10 +75,16 @@ def _weight(accuracy: Column) -> Column:
     return F.log(a / (1 - a)) + PARTICULAR_ERROR
 
 
-def scores(votes: DataFrame, accuracy: DataFrame | None) -> DataFrame:
-    """Score of every candidate: prior and weighted votes."""
-    weighed = votes.withColumn("w", F.lit(1.0) + PARTICULAR_ERROR) if accuracy is None else votes.join(accuracy, "user_id").withColumn("w", _weight(F.col("accuracy")))
-    return weighed.groupBy("cell_id", "field_name", "value").agg((F.sum("w") + F.max("prior")).alias("score"), F.count(F.lit(1)).alias("n"))
+def weighed(votes: DataFrame, accuracy: DataFrame | None) -> DataFrame:
+    """Votes with their annotator's accuracy so far and the weight it gives."""
+    if accuracy is None:
+        return votes.withColumn("accuracy", F.lit(None).cast("double")).withColumn("w", F.lit(1.0 + PARTICULAR_ERROR))
+    return votes.join(accuracy.select("user_id", "accuracy"), "user_id").withColumn("w", _weight(F.col("accuracy")))
+
+
+def scores(votes: DataFrame) -> DataFrame:
+    """Score of every candidate: prior and weighed votes."""
+    return votes.groupBy("cell_id", "field_name", "value").agg((F.sum("w") + F.max("prior")).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
 def best_two(scored: DataFrame) -> DataFrame:
@@ -88,18 +94,18 @@ def best_two(scored: DataFrame) -> DataFrame:
     return top.groupBy("cell_id", "field_name").agg(F.max(F.when(F.col("at") == 1, F.col("value"))).alias("best"), F.max(F.when(F.col("at") == 1, F.col("score"))).alias("best_score"), F.max(F.when(F.col("at") == 2, F.col("score"))).alias("second_score"))
 
 
-def leave_one_out(votes: DataFrame, accuracy: DataFrame | None) -> DataFrame:
-    """Smoothed accuracy of every annotator against what the others say."""
-    top = best_two(scores(votes, accuracy))
-    weighed = votes.withColumn("w", F.lit(1.0) + PARTICULAR_ERROR) if accuracy is None else votes.join(accuracy, "user_id").withColumn("w", _weight(F.col("accuracy")))
+def leave_one_out(votes: DataFrame) -> DataFrame:
+    """Every annotator's agreement with what the others say: user_id, ok, n_judged, and the
+    accuracy that the votes were weighed with.
+
+    Votes without another in their cell and field are not judged, but keep their annotator.
+    """
+    top = best_two(scores(votes))
     right = (F.col("value") == F.col("best")) & (F.col("best_score") - F.col("w") >= F.col("second_score"))
     unopposed = (F.col("value") == F.col("best")) & F.col("second_score").isNull()
-    judged = weighed.join(top, ["cell_id", "field_name"]).where("voters > 1").select("user_id", F.when(right | unopposed, 1.0).otherwise(0.0).alias("ok"))
-    tally = cut_lineage(judged.groupBy("user_id").agg(F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("n_judged")))
-    mean = tally.agg(F.sum("ok") / F.sum("n_judged")).first()[0]
-    users = votes.select("user_id").distinct().join(tally, "user_id", "left")
-    ok, n, m = F.coalesce("ok", F.lit(0.0)), F.coalesce("n_judged", F.lit(0)), F.lit(0.8 if mean is None else mean)
-    return users.select("user_id", ((ok + SMOOTHING * m) / (n + SMOOTHING)).alias("accuracy"), n.alias("n_judged"))
+    judged = votes.join(top, ["cell_id", "field_name"]).select("user_id", "accuracy", (F.col("voters") > 1).alias("counts"), (right | unopposed).alias("ok"))
+    ok = F.sum(F.when(F.col("counts") & F.coalesce("ok", F.lit(False)), 1.0).otherwise(0.0))
+    return judged.groupBy("user_id").agg(ok.alias("ok"), F.count_if("counts").alias("n_judged"), F.max("accuracy").alias("was"))
 
 
 def settle(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, DataFrame]:
@@ -109,19 +115,20 @@ def settle(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[DataFra
     votes = cut_lineage(votes.join(priors(votes), ["cell_id", "field_name", "value"]).join(voters, ["cell_id", "field_name"]))
     accuracy = None
     for _ in range(ROUNDS):
-        newer = cut_lineage(leave_one_out(votes, accuracy))
-        if accuracy is not None:
-            moved = newer.join(accuracy.select("user_id", F.col("accuracy").alias("was")), "user_id").agg(F.max(F.abs(F.col("accuracy") - F.col("was")))).first()[0]
-            if moved is None or moved < STILL:
-                return votes, newer
-        accuracy = newer
-    return votes, accuracy
+        tally = cut_lineage(leave_one_out(weighed(votes, accuracy)))
+        mean = tally.agg(F.sum("ok") / F.sum("n_judged")).first()[0]
+        smoothed = (F.col("ok") + SMOOTHING * (0.8 if mean is None else mean)) / (F.col("n_judged") + SMOOTHING)
+        accuracy = tally.select("user_id", smoothed.alias("accuracy"), "n_judged", "was")
+        moved = accuracy.agg(F.count(F.lit(1)), F.count("was"), F.max(F.abs(F.col("accuracy") - F.col("was")))).first()
+        if moved[0] == 0 or moved[1] and moved[2] < STILL:
+            break
+    return votes, accuracy.drop("was")
 
 
 def consensus(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``(cell_id, field_name, consensus, n_labels, agreement, margin)`` of every cell and field."""
     votes, accuracy = settle(labels, fields)
-    scored = scores(votes, accuracy)
+    scored = cut_lineage(scores(weighed(votes, accuracy)))
     top = best_two(scored)
     n = F.sum("n")
     pairs = scored.groupBy("cell_id", "field_name").agg(n.alias("n_labels"), F.when(n > 1, F.sum(F.col("n") * (F.col("n") - 1)) / (n * (n - 1))).alias("agreement"))
