@@ -9,16 +9,16 @@ from inkledger.operators import records as R
 from inkledger.session import table
 
 
-def _postings(spark, sf, odd: bool):
+def _postings(spark, sf):
     """Stretches of a person in a unit, from first to last edition seen there."""
     rows = table(spark, sf, "observation").where("person_id IS NOT NULL AND unit_id IS NOT NULL")
     day = F.unix_date(F.col("as_of_date").cast("date"))
-    spans = rows.groupBy("unit_id", "person_id").agg(F.min(day).alias("since"), F.max(day).alias("until"))
-    return spans.where(F.substring("person_id", -1, 1).cast("int") % 2 == (1 if odd else 0))
+    return rows.groupBy("unit_id", "person_id").agg(F.min(day).alias("since"), F.max(day).alias("until"))
 
 
 def unit_overlap(spark, sf):
-    both = P.overlapping(_postings(spark, sf, False), _postings(spark, sf, True), "unit_id", "since", "until", 365)
+    postings = _postings(spark, sf)
+    both = P.overlapping(postings, postings, "unit_id", "since", "until", 365).where("person_id_a < person_id_b")
     return both.groupBy("unit_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("until_a", "until_b") - F.greatest("since_a", "since_b")).alias("days"))
 
 
