@@ -75,8 +75,7 @@ def panel_boxes(spark, sf):
 
 
 def reading_order(spark, sf):
-    boxes = _boxes(spark, sf).where("vec_id % 5 = 0")
-    return G.right_to_left(boxes, "panel", "x", "vec_id").select("vec_id", "panel", F.col("column").alias("place"))
+    return G.right_to_left(_boxes(spark, sf), "panel", "x", "vec_id").select("vec_id", "panel", F.col("column").alias("place"))
 
 
 def page_payload(spark, sf):

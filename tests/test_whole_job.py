@@ -5,6 +5,7 @@ from __future__ import annotations
 from conftest import SMALL
 from oracle import differences
 
+from inkledger.plans import geometry as GP
 from inkledger.plans import planned as PP
 
 _POSTINGS = "SELECT unit_id, person_id, min(CAST(as_of_date AS DATE)) - DATE '1970-01-01' AS s, max(CAST(as_of_date AS DATE)) - DATE '1970-01-01' AS e FROM observation WHERE person_id IS NOT NULL AND unit_id IS NOT NULL GROUP BY ALL"
@@ -20,3 +21,15 @@ def test_unit_overlap_of_every_two_persons(spark, tmp_path):
 def test_unit_overlap_like_a_full_join(spark):
     sql = f"SELECT a.unit_id, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS days FROM ({_POSTINGS}) a JOIN ({_POSTINGS}) b ON a.unit_id = b.unit_id AND a.person_id < b.person_id AND a.s <= b.e AND b.s <= a.e GROUP BY a.unit_id"
     assert differences(spark, SMALL, PP.unit_overlap, sql) == ""
+
+
+def test_reading_order_places_every_box(spark, tmp_path):
+    rows = [(1, 0, [0.1, 0.0]), (2, 0, [0.3, 0.0]), (5, 0, [0.2, 0.0]), (7, 1, [0.1, 0.0])]
+    spark.createDataFrame(rows, "vec_id int, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.place for r in GP.reading_order(spark, str(tmp_path)).collect()}
+    assert got == {2: 0, 5: 1, 1: 2, 7: 0}
+
+
+def test_reading_order_like_sql_over_all_boxes(spark):
+    sql = f"SELECT vec_id, panel, CAST(row_number() OVER (PARTITION BY panel ORDER BY x DESC, vec_id) - 1 AS INTEGER) AS place FROM ({GP._BOX}) b"
+    assert differences(spark, SMALL, GP.reading_order, sql) == ""
