@@ -32,8 +32,9 @@ def classify_template(spark, sf):
 
 
 def _vertical(spark, sf):
+    """Every order as a line of its customer group, its day moved to the grid of ten days."""
     rows = table(spark, sf, "orders").select((F.col("o_custkey") % 97).cast("string").alias("panel"), F.lit("v").alias("axis"), F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("pos"))
-    return rows.where("pos % 30 < 3 OR pos % 90 = 45").withColumn("pos", F.floor(F.col("pos") / 10) * 10.0)
+    return rows.withColumn("pos", F.floor(F.col("pos") / 10) * 10.0)
 
 
 def column_edges(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from conftest import SMALL
 from oracle import differences
 
@@ -33,3 +35,15 @@ def test_reading_order_places_every_box(spark, tmp_path):
 def test_reading_order_like_sql_over_all_boxes(spark):
     sql = f"SELECT vec_id, panel, CAST(row_number() OVER (PARTITION BY panel ORDER BY x DESC, vec_id) - 1 AS INTEGER) AS place FROM ({GP._BOX}) b"
     assert differences(spark, SMALL, GP.reading_order, sql) == ""
+
+
+def test_column_edges_from_every_order(spark, tmp_path):
+    days = [10003, 10014, 10025, 10037, 10058, 10069]  # of the grid lines from 10000 to 10060, that at 10040 has none
+    rows = [(5, datetime.datetime(1970, 1, 1) + datetime.timedelta(d)) for d in days]
+    spark.createDataFrame(rows, "o_custkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in GP.column_edges(spark, str(tmp_path)).collect()] == [("5", 7, 1, 10000.0, 10060.0)]
+
+
+def test_every_order_becomes_a_line(spark):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    assert GP._vertical(spark, SMALL).count() == orders.count()
