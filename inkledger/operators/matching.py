@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,34 +19,33 @@ def margin_status(best: Column, runner_up: Column) -> Column:
     return F.when((best >= PROBABLE) & (margin >= MARGIN), "PROBABLE").when(best >= AMBIGUOUS, "AMBIGUOUS").otherwise("NO_MATCH")
 
 
-def lexicon_matches(readings: DataFrame, lexicon: DataFrame, score: Callable[[Column, Column], Column], least_bound: float = 0.0) -> DataFrame:
-    """Scores of readings against entries that share a character pair with them, or all their
-    single characters where a name is that short.
+def lexicon_matches(readings: DataFrame, lexicon: DataFrame, score: Callable[[Column, Column], Column], least_bound: float = 0.0, shard_size: int = 2000, block_size: int = 500) -> DataFrame:
+    """Scores of readings against every entry; only pairs whose bound on the ratio is under
+    ``least_bound`` are left out.
 
-    ``readings`` has reading, ``lexicon`` entry and ordinal.  Entries without a common pair are
-    not scored: for them the bound on the ratio says no match in all but names of two.  Blocks by
-    pair are joins on keys, so nothing is crossed.
+    ``readings`` has reading, ``lexicon`` entry and ordinal.  Blank readings are not scored.  An
+    entry without a common character pair may still be the best or the runner-up, so there is no
+    blocking: both sides are cut by hash and every block of distinct readings meets every shard of
+    the lexicon once, by a join on keys.
     """
-
-    def pairs(column: str) -> Column:
-        c = F.col(column)
-        n = F.length(c)
-        many = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2)))
-        return F.array_distinct(many)
-
-    left = readings.select("reading").where("reading <> ''").distinct().select("reading", F.explode(pairs("reading")).alias("pair"))
-    right = lexicon.select("entry", "ordinal", F.explode(pairs("entry")).alias("pair"))
-    both = left.join(right, "pair").select("reading", "entry", "ordinal").distinct()
+    left = readings.select("reading").where(F.col("reading").rlike("(?U)\\S")).distinct()
+    right = lexicon.select("entry", "ordinal").where("entry <> ''")
+    shards, blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((right, shard_size), (left, block_size)))
+    left = left.select("reading", F.pmod(F.xxhash64("reading"), F.lit(blocks)).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
+    right = right.select("entry", "ordinal", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.pmod(F.xxhash64("entry"), F.lit(shards)).alias("shard"))
     la, lb = F.length("reading"), F.length("entry")
-    both = both.where(2 * F.least(la, lb) / (la + lb) >= least_bound)
+    both = left.join(right, ["block", "shard"]).where(2 * F.least(la, lb) / (la + lb) >= least_bound).select("reading", "entry", "ordinal")
     return both.withColumn("score", score(F.col("reading"), F.col("entry")))
 
 
 def suggestions(matches: DataFrame, readings: DataFrame) -> DataFrame:
-    """Best entry, runner-up, margin (rounded for show) and status of every distinct reading."""
+    """Best entry, runner-up, margin (rounded for show) and status of every distinct reading.
+
+    A reading to which every entry scores 0 has no best.
+    """
     ranked = matches.withColumn("place", F.row_number().over(Window.partitionBy("reading").orderBy(F.desc("score"), "ordinal"))).where("place <= 5")
     at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
-    top = ranked.groupBy("reading").agg(at(1, "entry").alias("best"), at(1, "score").alias("best_score"), at(2, "score").alias("runner_up"))
+    top = ranked.groupBy("reading").agg(at(1, "entry").alias("best"), at(1, "score").alias("best_score"), at(2, "score").alias("runner_up")).where("best_score > 0")
     every = readings.select("reading").where("reading IS NOT NULL").distinct().join(top, "reading", "left")
     status = F.when(F.col("best_score").isNull(), "NO_MATCH").otherwise(margin_status(F.col("best_score"), F.col("runner_up")))
     return every.select("reading", "best", F.round("best_score", 4).alias("best_score"), F.round(F.col("best_score") - F.coalesce("runner_up", F.lit(0.0)), 4).alias("margin"), status.alias("status"))

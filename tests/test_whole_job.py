@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
 from conftest import SMALL
 from oracle import differences
+from pyspark.sql import functions as F
 
+from inkledger.functions import readings as T
+from inkledger.operators import matching as M
 from inkledger.plans import geometry as GP
 from inkledger.plans import planned as PP
+from inkledger.plans import texts as TP
 
 _POSTINGS = "SELECT unit_id, person_id, min(CAST(as_of_date AS DATE)) - DATE '1970-01-01' AS s, max(CAST(as_of_date AS DATE)) - DATE '1970-01-01' AS e FROM observation WHERE person_id IS NOT NULL AND unit_id IS NOT NULL GROUP BY ALL"
 
@@ -47,3 +52,34 @@ def test_column_edges_from_every_order(spark, tmp_path):
 def test_every_order_becomes_a_line(spark):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
     assert GP._vertical(spark, SMALL).count() == orders.count()
+
+
+def _levenshtein(a, b):
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+@pytest.mark.parametrize("score", [T.similarity, _levenshtein])
+def test_lexicon_scores_entries_without_a_common_pair(spark, score):
+    names = ["富永政", "山本一二三", "黒田重徳"]
+    lexicon = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "entry string, ordinal int")
+    readings = spark.createDataFrame([("富水政",), ("山木一仁三",), ("石原徳",), ("\u3000",), ("東京",)], "reading string")
+    got = {r.reading: (r.status, r.best) for r in M.suggestions(M.lexicon_matches(readings, lexicon, score), readings).collect()}
+    assert got["富水政"] == ("AMBIGUOUS", "富永政") and got["山木一仁三"] == ("AMBIGUOUS", "山本一二三")
+    assert got["石原徳"][0] == "NO_MATCH" and (got["石原徳"][1] == "黒田重徳" or score is _levenshtein)
+    assert got["\u3000"] == got["東京"] == ("NO_MATCH", None)
+
+
+def test_lexicon_in_blocks_and_shards_meets_every_pair_once(spark):
+    lexicon = spark.createDataFrame([(f"e{i}", i) for i in range(30)], "entry string, ordinal int")
+    readings = spark.createDataFrame([(f"r{i % 20}",) for i in range(40)], "reading string")
+    pairs = M.lexicon_matches(readings, lexicon, _levenshtein, shard_size=7, block_size=3)
+    assert pairs.count() == pairs.select("reading", "ordinal").distinct().count() == 600
+
+
+def test_lexicon_suggest_lev_like_a_full_scan(spark):
+    sql = """WITH l AS (SELECT p_name AS entry, min(p_partkey) AS ordinal FROM part GROUP BY p_name), r AS (SELECT DISTINCT substr(entry, 1, 3) || substr(entry, 5, 50) AS reading FROM l),
+ m AS (SELECT reading, entry, 1 - levenshtein(reading, entry) / CAST(greatest(length(reading), length(entry)) AS DOUBLE) AS score, ordinal FROM r, l),
+ k AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY score DESC, ordinal) AS place FROM m),
+ t AS (SELECT reading, max(entry) FILTER (place = 1) AS best, max(score) FILTER (place = 1) AS b, max(score) FILTER (place = 2) AS u FROM k GROUP BY reading)
+ SELECT reading, best, round(b, 4) AS best_score, round(b - coalesce(u, 0), 4) AS margin, CASE WHEN b >= 0.9 AND b - coalesce(u, 0) >= 0.15 THEN 'PROBABLE' WHEN b >= 0.6 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status FROM t"""
+    assert differences(spark, SMALL, TP.lexicon_suggest_lev, sql) == ""
