@@ -50,15 +50,16 @@ def reconciled(events: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
     return events.join(spans, key).where((F.col("at") > F.col("since")) & (F.col("at") <= F.col("until")))
 
 
-def edition_changes(older: DataFrame, newer: DataFrame, key: str, value: str, order: DataFrame) -> DataFrame:
+def edition_changes(older: DataFrame, newer: DataFrame, keys: list[str], value: str, order: DataFrame) -> DataFrame:
     """Change class of everyone in either edition: appeared, disappeared, same, promoted, demoted.
 
+    ``keys`` are the person and, where several editions are compared at once, the step between two.
     ``order`` gives the rank order of a value; values without one are other changes.
     """
     rank = lambda side: order.select(F.col(value).alias(f"{value}_{side}"), F.col("place").alias(f"place_{side}"))
-    a = older.select(key, F.col(value).alias(f"{value}_old"), F.lit(True).alias("_o"))
-    b = newer.select(key, F.col(value).alias(f"{value}_new"), F.lit(True).alias("_n"))
-    both = a.join(b, key, "full").join(rank("old"), f"{value}_old", "left").join(rank("new"), f"{value}_new", "left")
+    a = older.select(*keys, F.col(value).alias(f"{value}_old"), F.lit(True).alias("_o"))
+    b = newer.select(*keys, F.col(value).alias(f"{value}_new"), F.lit(True).alias("_n"))
+    both = a.join(b, keys, "full").join(rank("old"), f"{value}_old", "left").join(rank("new"), f"{value}_new", "left")
     kind = (
         F.when(F.col("_o").isNull(), "appeared")
         .when(F.col("_n").isNull(), "disappeared")
@@ -67,7 +68,7 @@ def edition_changes(older: DataFrame, newer: DataFrame, key: str, value: str, or
         .when(F.col("place_new") < F.col("place_old"), "demoted")
         .otherwise("changed")
     )
-    return both.select(key, f"{value}_old", f"{value}_new", kind.alias("change"))
+    return both.select(*keys, f"{value}_old", f"{value}_new", kind.alias("change"))
 
 
 def throughput(readings: DataFrame) -> DataFrame:

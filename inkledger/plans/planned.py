@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkledger.operators import planned as P
 from inkledger.operators import records as R
+from inkledger.operators.history import edition_calendar
 from inkledger.session import table
 
 
@@ -50,14 +51,18 @@ def rank_regressions(spark, sf):
     return _snapshots(spark, sf).withColumn("before", before).where("value < before")
 
 
-def _edition(spark, sf, day):
-    rows = table(spark, sf, "observation").where((F.col("as_of_date") == day) & F.col("person_id").isNotNull())
-    return R.last_by(rows.select("person_id", "rank_code", "created_at", "obs_id"), ["person_id"], ["created_at", "obs_id"])
-
-
 def propagation_diff(spark, sf):
+    """Changes from every edition of the retsuji series to the next."""
+    calendar = edition_calendar(table(spark, sf, "source_volume"), "retsuji")
+    rows = table(spark, sf, "observation").where("person_id IS NOT NULL").select("person_id", "as_of_date", "rank_code", "created_at", "obs_id")
+    last = R.last_by(rows, ["person_id", "as_of_date"], ["created_at", "obs_id"]).join(F.broadcast(calendar), "as_of_date")
+    older = last.withColumn("step", F.col("edition"))
+    newer = last.withColumn("step", F.col("edition") - 1)
+    since, until = calendar.select(F.col("edition").alias("step"), F.col("as_of_date").alias("since")), calendar.select((F.col("edition") - 1).alias("step"), F.col("as_of_date").alias("until"))
     order = table(spark, sf, "rank_vocab").select("rank_code", F.col("seniority_order").alias("place"))
-    return P.edition_changes(_edition(spark, sf, "1916-10-01"), _edition(spark, sf, "1917-10-01"), "person_id", "rank_code", order)
+    changes = P.edition_changes(older, newer, ["person_id", "step"], "rank_code", order)
+    # the first edition has none before it and the last none after it
+    return changes.join(F.broadcast(since.join(until, "step")), "step").select("person_id", "since", "until", "rank_code_old", "rank_code_new", "change")
 
 
 def quality_metrics(spark, sf):

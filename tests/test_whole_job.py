@@ -83,3 +83,26 @@ def test_lexicon_suggest_lev_like_a_full_scan(spark):
  t AS (SELECT reading, max(entry) FILTER (place = 1) AS best, max(score) FILTER (place = 1) AS b, max(score) FILTER (place = 2) AS u FROM k GROUP BY reading)
  SELECT reading, best, round(b, 4) AS best_score, round(b - coalesce(u, 0), 4) AS margin, CASE WHEN b >= 0.9 AND b - coalesce(u, 0) >= 0.15 THEN 'PROBABLE' WHEN b >= 0.6 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status FROM t"""
     assert differences(spark, SMALL, TP.lexicon_suggest_lev, sql) == ""
+
+
+_CHANGES = """WITH e AS (SELECT edition_date, lead(edition_date) OVER (ORDER BY edition_date) AS following FROM (SELECT DISTINCT edition_date FROM source_volume WHERE series = 'retsuji' AND edition_date IS NOT NULL) d),
+ l AS (SELECT person_id, as_of_date, rank_code FROM (SELECT *, row_number() OVER (PARTITION BY person_id, as_of_date ORDER BY created_at DESC, obs_id DESC) AS n FROM observation WHERE person_id IS NOT NULL) q WHERE n = 1),
+ k AS (SELECT DISTINCT person_id, edition_date AS since, following AS until FROM l JOIN e ON as_of_date IN (edition_date, following) WHERE following IS NOT NULL)
+ SELECT k.person_id, since, until, a.rank_code AS rank_code_old, b.rank_code AS rank_code_new, CASE WHEN a.person_id IS NULL THEN 'appeared' WHEN b.person_id IS NULL THEN 'disappeared' WHEN a.rank_code IS NOT DISTINCT FROM b.rank_code THEN 'same'
+ WHEN rb.seniority_order > ra.seniority_order THEN 'promoted' WHEN rb.seniority_order < ra.seniority_order THEN 'demoted' ELSE 'changed' END AS change
+ FROM k LEFT JOIN l a ON a.person_id = k.person_id AND a.as_of_date = since LEFT JOIN l b ON b.person_id = k.person_id AND b.as_of_date = until LEFT JOIN rank_vocab ra ON ra.rank_code = a.rank_code LEFT JOIN rank_vocab rb ON rb.rank_code = b.rank_code"""
+
+
+def test_propagation_diff_of_every_step(spark, tmp_path):
+    volumes = [("retsuji", "1911-10-01"), ("retsuji", "1912-10-01"), ("retsuji", "1913-06-15"), ("teinen", "1912-01-01")]
+    readings = [(1, "p", "1911-10-01", "b"), (2, "p", "1912-10-01", "a"), (3, "q", "1912-10-01", "b"), (4, "q", "1913-06-15", "b"), (5, "r", "1911-10-01", "b"), (6, "r", "1913-06-15", "b")]
+    spark.createDataFrame(volumes, "series string, edition_date string").write.parquet(f"{tmp_path}/source_volume.parquet")
+    spark.createDataFrame([("a", 2), ("b", 1)], "rank_code string, seniority_order int").write.parquet(f"{tmp_path}/rank_vocab.parquet")
+    spark.createDataFrame(readings, "obs_id bigint, person_id string, as_of_date string, rank_code string").withColumn("created_at", F.timestamp_seconds("obs_id")).write.parquet(f"{tmp_path}/observation.parquet")
+    got = {(r.person_id, r.since, r.until): r.change for r in PP.propagation_diff(spark, str(tmp_path)).collect()}
+    first, second = ("1911-10-01", "1912-10-01"), ("1912-10-01", "1913-06-15")
+    assert got == {("p", *first): "promoted", ("p", *second): "disappeared", ("q", *first): "appeared", ("q", *second): "same", ("r", *first): "disappeared", ("r", *second): "appeared"}
+
+
+def test_propagation_diff_like_sql_over_every_step(spark):
+    assert differences(spark, SMALL, PP.propagation_diff, _CHANGES) == ""
