@@ -13,7 +13,8 @@ corrected for chance and holds with missing ratings, and per cell as the share o
 labels that are equal.
 
 Null labels are no votes; a cell without any has a null consensus; a label delivered twice
-counts once; ties go to the larger value.  No group is gathered: every step is an aggregation
+counts once; ties go to the larger value.  Readers without a user_id are unknown: each of their
+labels (by label_id) is a vote of its own, with the accuracy that unknown readers have together.  No group is gathered: every step is an aggregation
 with map-side combine or a join on keys, hot annotators meet only their own small row.
 """
 
@@ -34,10 +35,12 @@ SMOOTHING, ROUNDS, STILL = 4.0, 30, 1e-3
 
 
 def votes_of(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Distinct ``(cell_id, field_name, user_id, value)``; null values are left out."""
+    """Distinct ``(cell_id, field_name, user_id, value)``, of unknown readers one for each label;
+    null values are left out."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))
-    rows = labels.select("cell_id", "user_id", pairs.alias("v")).select("cell_id", "user_id", "v.*")
-    return rows.where("value IS NOT NULL AND cell_id IS NOT NULL").distinct()
+    label = F.when(F.col("user_id").isNull(), F.col("label_id") if "label_id" in labels.columns else F.lit(None))
+    rows = labels.select("cell_id", "user_id", label.alias("unknown"), pairs.alias("v")).select("cell_id", "user_id", "unknown", "v.*")
+    return rows.where("value IS NOT NULL AND cell_id IS NOT NULL").distinct().drop("unknown")
 
 
 def _rarest(candidates: DataFrame) -> DataFrame:
@@ -79,7 +82,8 @@ def weighed(votes: DataFrame, accuracy: DataFrame | None) -> DataFrame:
     """Votes with their annotator's accuracy so far and the weight it gives."""
     if accuracy is None:
         return votes.withColumn("accuracy", F.lit(None).cast("double")).withColumn("w", F.lit(1.0 + PARTICULAR_ERROR))
-    return votes.join(accuracy.select("user_id", "accuracy"), "user_id").withColumn("w", _weight(F.col("accuracy")))
+    known = accuracy.select(F.col("user_id").alias("reader"), "accuracy")
+    return votes.join(known, F.col("user_id").eqNullSafe(F.col("reader"))).drop("reader").withColumn("w", _weight(F.col("accuracy")))
 
 
 def scores(votes: DataFrame) -> DataFrame:
