@@ -7,9 +7,9 @@ What finds nothing may be an abbreviation: its words must be shortened forms of
 words in order, and the entry that needs the fewest words left out wins if it is the only one.
 Everything else is reported as ``unmatched``.
 
-Up to ``small`` entries travel with the tasks and rows are mapped without a shuffle; a longer
-list is cut into shards, each shard searched by every block of distinct values, and the winners
-of the shards merged.  Null and blank values give no row; ties between entries are unmatched.
+Up to ``small`` entries travel with the tasks and rows are mapped without a shuffle; with a longer
+list ``map_free_values`` fails.  ``nearest_in_shards`` searches lists of any length, but has neither
+the normal forms nor the abbreviations and is not used by it.  Null and blank values give no row; ties between entries are unmatched.
 """
 
 from __future__ import annotations
