@@ -2,67 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.session import cut_lineage
 
 
-def edge_tokens(core: Column, least: int = 2) -> Column:
+def edge_tokens(core: Column, least: int = 2, frame: bool = True) -> Column:
     """Suffixes of a name and of its reversal (its beginnings), from a least length on, and its
     frame of first and last character; wildcards may not be in them."""
     size = F.length(core)
+    none = F.array().cast("array<string>")
     span = F.when(size >= least, F.sequence(F.lit(least), size))
     tails = F.transform(span, lambda n: F.substr(core, size - n + 1, n))
     heads = F.transform(span, lambda n: F.substr(core, F.lit(1), n))
-    frame = F.when(size >= 4, F.array(F.concat(F.substring(core, 1, 1), F.lit("~"), F.substr(core, size, F.lit(1)))))
-    every = F.array_distinct(F.concat(F.coalesce(tails, F.array()), F.coalesce(heads, F.array()), F.coalesce(frame, F.array())))
+    ends = F.when(size >= 4, F.array(F.concat(F.substring(core, 1, 1), F.lit("~"), F.substr(core, size, F.lit(1))))) if frame else none
+    every = F.array_distinct(F.concat(*[F.coalesce(part, none) for part in (tails, heads, ends)]))
     return F.filter(every, lambda t: ~t.contains("〓"))
 
 
-def refined_blocks(tokens: DataFrame, most: int, *refinements: str) -> DataFrame:
-    """``(id, block)``: tokens of at most ``most`` rows as they are; more common ones only
-    together with the next refining field, and so on.
+def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> DataFrame:
+    """``tokens`` with ``block`` and ``side`` instead of token, ``first`` and ``second``.
+
+    Tokens of at most ``most`` rows are blocks as they are.  A more common one is discarded only
+    after refining: its rows meet where they agree in the first field or in the second, and where
+    such a block is still as large, in both, compared whole.  A row that lacks what refining needs
+    meets all rows of the token (side ``l`` against side ``r``, which do not meet each other), so
+    no row loses a token because a field is null.
+    """
+
+    def sized(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy(F.col("block").alias("_sized")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+        return cut_lineage(rows.join(sizes, F.col("block") == F.col("_sized"), "left").drop("_sized"))
+
+    def refined(*parts: Column) -> Column:
+        """One block for each part that is not null, else the whole against all."""
+        known = F.array_compact(F.array(*[F.when(p.isNotNull(), F.concat_ws("|", "block", F.lit(i), p)) for i, p in enumerate(parts)]))
+        loose = F.concat_ws("|", "block", F.lit("~"))
+        entry = lambda block, side: F.struct(block.alias("b"), F.lit(side).alias("s"))
+        return F.explode(F.when(F.size(known) == 0, F.array(entry(loose, "l"))).otherwise(F.concat(F.transform(known, lambda k: entry(k, "b")), F.array(entry(loose, "r")))))
 
-    With the last field nothing is discarded any more.  Rows without the field that a common
-    token needs keep their rarer tokens.
+    rows = tokens.withColumnRenamed("token", "block").withColumn("side", F.lit("b"))
+    keep = [c for c in rows.columns if c not in ("block", "side")]
+    one, two = F.col(first), F.col(second)
+    judged = sized(rows)
+    rare = judged.where("_n IS NULL").drop("_n")
+    common = judged.where("_n IS NOT NULL").select(*keep, refined(one, two).alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
+    loose = common.where("side <> 'b'")
+    judged = sized(common.where("side = 'b'"))
+    still = judged.where("_n IS NOT NULL").withColumn("_both", F.when(one.isNotNull() & two.isNotNull(), F.concat_ws("|", one, two)))
+    still = still.select(*keep, refined(F.col("_both")).alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
+    return rare.unionByName(loose).unionByName(judged.where("_n IS NULL").drop("_n")).unionByName(still).drop(first, second)
+
+
+def block_pairs(blocks: DataFrame, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Distinct pairs that share a block: ``a``, ``b`` (smaller id first) and, if the blocks carry
+    ``v``, ``va`` and ``vb``.
+
+    ``may`` is a cheap condition on the two ``v``; pairs that fail it go no further than the join.
     """
-    todo = cut_lineage(tokens.withColumn("block", F.col("token")))
-    parts = []
-    for field in refinements:
-        sizes = todo.groupBy(F.col("block").alias("sized")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-        judged = cut_lineage(todo.join(sizes, F.col("block") == F.col("sized"), "left").drop("sized"))
-        parts.append(judged.where("n IS NULL").select("id", "block"))
-        todo = judged.where(F.col("n").isNotNull() & F.col(field).isNotNull()).drop("n").withColumn("block", F.concat_ws("|", "block", F.col(field)))
-    out = todo.select("id", "block")
-    for part in parts:
-        out = out.unionByName(part)
-    return cut_lineage(out.distinct())
-
-
-def block_pairs(blocks: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)``, smaller id first, that share a block."""
-    left = blocks.select(F.col("id").alias("a"), "block")
-    right = blocks.select(F.col("id").alias("b"), "block")
-    return cut_lineage(left.join(right, "block").where("a < b").select("a", "b").distinct())
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    carried = "v" in blocks.columns
+    take = lambda s: [F.col("id").alias(s), F.col("side").alias(f"side_{s}"), *([F.col("v").alias(f"v{s}")] if carried else [])]
+    left, right = blocks.where("side <> 'r'").select("block", *take("a")), blocks.select("block", *take("b"))
+    # A pair of side r and side l comes once, from l; one of two equal sides from the smaller id.
+    met = left.join(right, "block").where("a <> b AND (side_b = 'r' OR a < b)")
+    if may is not None:
+        met = met.where(may(F.col("va"), F.col("vb")))
+    turn = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    out = met.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), *([pick("va", "vb").alias("va"), pick("vb", "va").alias("vb")] if carried else []))
+    return out.dropDuplicates(["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``(id, root)`` of every vertex with an edge; root is the smallest id it is linked with.
 
-    Large-star, small-star contraction on checkpointed edges: the number of rounds grows with
-    the logarithm of the longest chain, and no vertex's neighbours are ever gathered.
+    Large-star, small-star contraction on checkpointed edges, until a round changes nothing: the
+    number of rounds grows with the logarithm of the longest chain, and no vertex's neighbours are
+    ever gathered.
     """
     current = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()
     current = cut_lineage(current)
-    for _ in range(rounds):
+    mark = None
+    while True:
         both = current.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e")).select("e.v", "e.u")
         low = both.groupBy(F.col("v").alias("w")).agg(F.min("u").alias("m")).select("w", F.least("m", "w").alias("m"))
         down = both.join(low, F.col("v") == F.col("w")).where("u > v AND u <> m").select(F.col("u").alias("x"), F.col("m").alias("y")).distinct()
         low = down.groupBy(F.col("x").alias("w")).agg(F.min("y").alias("m"))
         small = down.join(low, F.col("x") == F.col("w")).select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("v"), F.col("m").alias("u"))
-        newer = cut_lineage(small.where("v <> u").distinct())
-        if newer.count() == current.count() and newer.exceptAll(current).isEmpty():
+        current = cut_lineage(small.where("v <> u").distinct())
+        before, mark = mark, tuple(current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == before:
             break
-        current = newer
     return current.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "id")

@@ -1,70 +1,113 @@
 """Variant spellings of one officer's name, found by suffix blocking.
 
 Names are indexed by their suffixes (and those of their reversal) above a least length.  Suffixes
-that are too common are not dropped but refined: with the year, then with day and branch (for
-printed officers with cohort, then with birth); only a row without the refining field leaves a
-common suffix, and it keeps its longer ones.  Pairs of a block are compared by
-longest-common-subsequence ratio, in either order of family and given name, and weighed with
-what dates, branch, birth and cohort say; what is accepted is closed over chains.
-
-Equal profiles (name, day, branch) are one vertex, so copies are never compared with each other,
-and the readers of one roster cell are linked by the cell.  Null and blank names have no pairs; a
-row delivered twice counts once; rows without a cell key stand for themselves.
+that are too common are discarded only after refining: the names that share one are compared where
+they agree in a second field or a third (the year or the branch of a reading, the cohort or the year
+of birth of a printed officer), and where that is still common, in both.  A row without the field
+is compared with all rows of the suffix.  Pairs of a block are compared by the ratio of their
+longest common subsequence, in either order of family and given name; how much a ratio says beside
+dates, branches, births and cohorts is learnt from all pairs (``evidence``), so nothing is fitted to
+one size.  What is accepted is closed over chains.
+
+The readers of one roster cell read one officer; their names are compared too, with this as a
+further piece of evidence.  Names in Latin letters are compared by their sound (``sounds``).  Equal
+profiles (name, day, branch) are one vertex, so copies are never compared with each other.  Null and
+blank names have no pairs; a row delivered twice counts once; rows without a cell key stand for
+themselves.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions.text import variant_map
+from inkledger.llm import people as P
+from inkledger.llm import sounds
+from inkledger.llm.evidence import counted, log_odds, looked_up, random_pairs, table_of
 from inkledger.llm.graph import block_pairs, components, edge_tokens, refined_blocks
-from inkledger.llm.people import kana_similarity, name_similarity, printed, readings
+from inkledger.llm.people import by_cell, kana_likeness, may_be_like, may_sound_like, name_likeness, printed, readings
+from inkledger.llm.sounds import Readings, learn, sounds_like, usual_words, words_of
 from inkledger.session import cut_lineage, small_rows
 
 #: Rows above which a suffix is common.
 COMMON = 60
-ACCEPT = 3.5
+#: Log-odds from which a pair is accepted: two to one.
+ACCEPT = float(np.log(2.0))
+#: What two readings of one cell have in their favour, in log-odds.
+ONE_CELL = 12.0
+
+#: First level of likeness by sound, after those of written names.
+SOUND = P.NO_NAME + 1
+#: Levels of agreement of two days: nothing to compare; equal; two parts of three equal, or a day
+#: apart; month with year or day equal, the rest unknown; only the year known on a side, and equal;
+#: other days of one year; other years, or months and days of unknown year that differ.
+UNKNOWN, SAME, CLOSE, PARTLY, IN_YEAR, OTHER_DAY, APART = range(7)
+#: Expected of pairs of one officer: days; branches (one unknown, equal, different); days of birth;
+#: cohorts (unknown, equal, ten apart, one apart, different).  Worth twenty pairs beside the data.
+USUAL_DAYS = np.array([0.15, 0.69, 0.04, 0.05, 0.02, 0.02, 0.03])
+USUAL_BRANCHES = np.array([0.12, 0.86, 0.02])
+USUAL_BIRTHS = np.array([0.18, 0.5, 0.02, 0.15, 0.1, 0.02, 0.03])
+USUAL_COHORTS = np.array([0.12, 0.83, 0.02, 0.02, 0.01])
 
 
 def branch_entries(branch_vocab: DataFrame, bound: int = 5000) -> list[tuple]:
     return [tuple(r) for r in small_rows(branch_vocab.select("branch_code", "label_ja", "label_en", "variants"), bound)]
 
 
-def name_weight(ratio: Column, core_a: Column, core_b: Column) -> Column:
-    """What the likeness of two names says; exact short names say less."""
-    shortest = F.least(F.length(core_a), F.length(core_b))
-    exact = F.when(shortest >= 4, 3.5).when(shortest == 3, 3.0).otherwise(1.0)
-    return F.when(ratio == 1.0, exact).when(ratio >= 0.85, 2.0).when(ratio >= 0.74, 1.5).when(ratio >= 0.66, 0.0).otherwise(-4.0)
-
-
 def near_day(a: Column, b: Column) -> Column:
     """Two of year, month and day are equal."""
     same = [(F.substring(a, i, n) == F.substring(b, i, n)).cast("int") for i, n in ((1, 4), (6, 2), (9, 2))]
     return same[0] + same[1] + same[2] == 2
 
 
-def day_weight(day_a: Column, day_b: Column, year_a: Column, year_b: Column) -> Column:
-    """What two commissioning days say; without a day the years."""
+def day_level(a: str, b: str) -> Column:
+    """Agreement of two days given as structs (day, year, month, within), by their names."""
+    f = lambda field: (F.col(f"{a}.{field}"), F.col(f"{b}.{field}"))
+    (day_a, day_b), (year_a, year_b), (month_a, month_b), (within_a, within_b) = map(f, ("day", "year", "month", "within"))
+    next_day = F.abs(F.date_diff(day_a.try_cast("date"), day_b.try_cast("date"))) == 1
     return (
-        F.when(day_a == day_b, 2.0)
-        .when(near_day(day_a, day_b), -0.5)
-        .when(day_a.isNotNull() & day_b.isNotNull(), F.when(year_a == year_b, -1.0).otherwise(-2.5))
-        .when(year_a == year_b, 0.75)
-        .when(year_a.isNotNull() & year_b.isNotNull(), -1.5)
-        .otherwise(0.0)
+        F.when(day_a == day_b, SAME)
+        .when(near_day(day_a, day_b) | next_day, CLOSE)
+        .when(day_a.isNotNull() & day_b.isNotNull(), F.when(year_a == year_b, OTHER_DAY).otherwise(APART))
+        .when((within_a == within_b) | (month_a == month_b), PARTLY)
+        .when((year_a == year_b) & ((month_a != month_b) | (within_a != within_b)), OTHER_DAY)
+        .when(year_a == year_b, IN_YEAR)
+        .when((year_a != year_b) | (within_a != within_b), APART)
+        .otherwise(UNKNOWN)
     )
 
 
-def equal_weight(a: Column, b: Column, same: float, other: float) -> Column:
-    return F.when(a == b, same).when(a.isNotNull() & b.isNotNull(), other).otherwise(0.0)
+def code_level(a: Column, b: Column) -> Column:
+    return F.when(a == b, 1).when(a != b, 2).otherwise(0)
+
+
+def cohort_level(a: Column, b: Column) -> Column:
+    return F.when(a == b, 1).when(F.abs(a - b) == 10, 2).when(F.abs(a - b) == 1, 3).when(a != b, 4).otherwise(0)
+
+
+def with_odds(pairs: DataFrame, names: Column, first: Column, second: Column, levels: int, chance: np.ndarray, anchors: tuple[int, ...], usual: tuple, complete: np.ndarray) -> DataFrame:
+    """Pairs with ``score``, the log-odds of one person that names and two fields give together."""
+    pairs = cut_lineage(pairs.withColumn("n", names).withColumn("f1", first).withColumn("f2", second))
+    free = pairs.where("cell = 0") if "cell" in pairs.columns else pairs
+    table = table_of(counted(free, F.col("n"), F.col("f1"), F.col("f2")), levels, len(usual[0]), len(usual[1]))
+    odds = log_odds(table, chance, anchors, usual, complete)
+    return pairs.withColumn("score", looked_up(odds, F.col("n"), F.col("f1"), F.col("f2")))
+
+
+def chance_of(rows: DataFrame, first: Column, second: Column, *sizes: int) -> np.ndarray:
+    """Counts of the levels of two fields in random pairs of ``rows`` (id and a struct ``v``)."""
+    pairs = random_pairs(rows, ["v"]).select(F.col("v_a").alias("va"), F.col("v_b").alias("vb"))
+    return table_of(counted(pairs, first, second), *sizes)
 
 
 def profiles_of(rows: DataFrame) -> DataFrame:
     """``rows`` with ``profile``, the id of their (core, day, branch); without a day the cell
     takes part, so that namesakes of unknown date stay apart."""
-    key = F.xxhash64(F.coalesce("core", F.lit("")), F.coalesce("day", F.concat(F.lit("c"), "cell")), F.coalesce("branch", F.lit("")))
-    return rows.withColumn("profile", F.when(F.col("core").isNotNull(), key))
+    name = F.coalesce("core", F.concat(F.lit("="), "form"))
+    key = F.xxhash64(name, F.coalesce("day", F.concat(F.lit("c"), "cell")), F.coalesce("branch", F.lit("")))
+    return rows.withColumn("profile", F.when(F.col("form") != "", key))
 
 
 def with_spread(rows: DataFrame, year: str) -> DataFrame:
@@ -74,88 +117,115 @@ def with_spread(rows: DataFrame, year: str) -> DataFrame:
     return rows.join(spans, F.col("core") == F.col("_core"), "left").drop("_core")
 
 
-def linked_profiles(profiles: DataFrame, most: int = COMMON) -> DataFrame:
-    """Accepted ``(a, b, score)`` between distinct profiles (id, core, day, year, branch).
+def linked_profiles(profiles: DataFrame, cells: DataFrame, heard: Readings, most: int = COMMON) -> DataFrame:
+    """Accepted ``(a, b, score)`` between distinct profiles (id, core, words, day, year, month,
+    within, branch); ``cells`` are the pairs of profiles read in one cell, ``heard`` the readings of
+    characters by which names in Latin letters are compared.
 
     A name alone, without date or branch, links only where nobody of that name is of another
     year: it must not bridge namesakes.
     """
-    named = cut_lineage(with_spread(profiles.where(F.length("core") >= 2), "year"))
-    tokens = named.select("id", F.explode(edge_tokens(F.col("core"))).alias("token"), F.col("year").cast("string").alias("y"), F.concat_ws("/", F.coalesce("day", F.lit("-")), F.coalesce("branch", F.lit("-"))).alias("d"))
-    pairs = block_pairs(refined_blocks(tokens, most, "y", "d"))
-    side = lambda s: named.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("core", "day", "year", "branch", "spread")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    c = lambda n: F.col(n)
-    rest = day_weight(c("day_a"), c("day_b"), c("year_a"), c("year_b")) + equal_weight(c("branch_a"), c("branch_b"), 1.0, -1.0)
-    both = both.withColumn("rest", rest).where(F.col("rest") + 3.5 >= ACCEPT)
-    both = both.withColumn("ratio", name_similarity("core_a", "core_b"))
-    both = both.withColumn("score", name_weight(c("ratio"), c("core_a"), c("core_b")) + c("rest"))
-    bridge = (c("rest") < 0.5) & (c("spread_a") > 1) & (c("day_a").isNull() | c("day_b").isNull())
-    return both.where((F.col("score") >= ACCEPT) & ~bridge).select("a", "b", "score", "ratio")
-
-
-def officer_score(pairs: DataFrame) -> DataFrame:
-    """Score of pairs of printed officers; columns of both sides end in _a and _b."""
-    c = lambda n: F.col(n)
-    pairs = pairs.withColumn("ratio", name_similarity("core_a", "core_b")).withColumn("kana", kana_similarity("kana_a", "kana_b"))
-    said = F.when(c("kana") == 1.0, 2.0).when(c("kana") >= 0.9, 1.5).when(c("kana") >= 0.75, 0.75).when(c("kana") >= 0.6, 0.0).otherwise(-1.5)
-    named = F.when(c("ratio").isNotNull(), name_weight(c("ratio"), c("core_a"), c("core_b")) + F.coalesce(F.least(said, F.lit(1.0)), F.lit(0.0))).when(c("kana").isNotNull(), said).otherwise(-4.0)
-    born = (
-        F.when(c("birth_a") == c("birth_b"), 3.0)
-        .when(near_day(c("birth_a"), c("birth_b")), 0.0)
-        .when(c("birth_a").isNotNull() & c("birth_b").isNotNull(), -3.0)
-        .otherwise(equal_weight(c("birth_year_a"), c("birth_year_b"), 1.0, -2.0))
-    )
-    shared = F.when(F.arrays_overlap("days_a", "days_b"), 1.0).otherwise(0.0)
-    misread = F.abs(c("cohort_a") - c("cohort_b")) == 10  # one digit of two
-    rest = born + F.when(misread, 0.0).otherwise(equal_weight(c("cohort_a"), c("cohort_b"), 0.75, -1.5)) + shared + equal_weight(c("branch_a"), c("branch_b"), 0.5, -0.75)
-    return pairs.withColumn("score", named + rest)
+    fields = ("core", "words", "day", "year", "month", "within", "branch", "spread")
+    named = cut_lineage(with_spread(profiles, "year").select("id", F.struct(*fields).alias("v"), usual_words(F.col("core"), heard).alias("usual")))
+    keys = [F.col("v.year").cast("string").alias("y"), F.col("v.branch").alias("b")]
+    tokens = named.where(F.length("v.core") >= 2).select("id", "v", F.explode(edge_tokens(F.col("v.core"))).alias("token"), *keys)
+    met = block_pairs(refined_blocks(tokens, most, "y", "b"), lambda a, b: may_be_like(a["core"], b["core"]))
+    # Romanised names meet written ones by the sound of either word, within those of a year or branch.
+    whole = F.filter("v.words", lambda w: F.length(w) > 1)
+    latin = named.where(F.size("v.words") > 0).select("id", "v", F.explode(whole).alias("token"), *keys)
+    spelt = latin.select("token").distinct()
+    written = named.select("id", "v", F.explode("usual").alias("token"), *keys).join(spelt, "token", "left_semi")
+    sounded = block_pairs(refined_blocks(latin.unionByName(written.select(*latin.columns)), most, "y", "b"), lambda a, b: (F.size(a["words"]) > 0) != (F.size(b["words"]) > 0))
+    met = met.unionByName(sounded).withColumn("cell", F.lit(0))
+    side = lambda s: named.select(F.col("id").alias(s), F.col("v").alias(f"v{s}"))
+    held = cells.join(side("a"), "a").join(side("b"), "b").withColumn("cell", F.lit(1))
+    pairs = met.unionByName(held.select(*met.columns)).groupBy("a", "b").agg(F.any_value("va").alias("va"), F.any_value("vb").alias("vb"), F.max("cell").alias("cell"))
+    days, branches = day_level("va", "vb"), code_level(F.col("va.branch"), F.col("vb.branch"))
+    chance = chance_of(named, days, branches, 7, 3)
+    complete = np.zeros((SOUND + sounds.BOTH + 1, 7, 3))
+    complete[:, [SAME, IN_YEAR, OTHER_DAY], :] = complete[:, :, 1] = 1
+    complete[P.EQUAL, SAME, 1] = 0  # one profile, no pair
+    heard_as = F.coalesce(sounds_like(F.col("va.core"), F.col("vb.words"), heard), sounds_like(F.col("vb.core"), F.col("va.words"), heard))
+    level = F.coalesce(SOUND + heard_as, name_likeness(F.col("va.core"), F.col("vb.core")))
+    scored = with_odds(pairs, level, days, branches, len(complete), chance, (P.WITHIN, P.MOVED), (USUAL_DAYS, USUAL_BRANCHES), complete)
+    scored = scored.withColumn("score", F.col("score") + F.when(F.col("cell") == 1, ONE_CELL).otherwise(0.0))
+    bridge = (F.col("cell") == 0) & (F.col("f2") != 1) & F.col("f1").isin(UNKNOWN, APART) & ((F.col("va.spread") > 1) | (F.col("vb.spread") > 1))
+    unlike = (F.col("cell") == 0) & F.col("n").isin(P.UNLIKE, P.DISTANT, P.NO_NAME, SOUND + sounds.SILENT)
+    return scored.where((F.col("score") >= ACCEPT) & ~bridge & ~unlike).select("a", "b", "score", "n", "f1", "f2", "cell")
 
 
 def linked_officers(rows: DataFrame, most: int = COMMON) -> DataFrame:
     """Accepted ``(a, b, score)`` between printed officers."""
-    born = F.coalesce("birth", F.col("birth_year").cast("string"))
-    fields = [F.col("officer_id").alias("id"), F.col("cohort").cast("string").alias("c"), born.alias("b")]
-    by_name = rows.where(F.length("core") >= 2).select(*fields, F.explode(edge_tokens(F.col("core"))).alias("token"))
-    size = F.length("kana")
-    by_kana = rows.where(size >= 3).select(*fields, F.explode(F.transform(F.sequence(F.lit(3), size), lambda n: F.concat(F.lit("k:"), F.substr("kana", size - n + 1, n)))).alias("token"))
-    by_birth = rows.where("birth IS NOT NULL").select(*fields, F.concat(F.lit("b:"), "birth").alias("token"))
-    blocks = refined_blocks(by_name.unionByName(by_kana).unionByName(by_birth), most, "c", "b")
-    keep = ["core", "kana", "cohort", "days", "birth", "birth_year", "branch"]
-    side = lambda s: rows.select(F.col("officer_id").alias(s), *[F.col(k).alias(f"{k}_{s}") for k in keep])
-    both = officer_score(block_pairs(blocks).join(side("a"), "a").join(side("b"), "b"))
-    return both.where(F.col("score") >= ACCEPT).select("a", "b", "score")
+    birth = F.struct(F.col("birth").alias("day"), F.col("birth_year").alias("year"), F.col("birth_month").alias("month"), F.substring("birth", 6, 5).alias("within"))
+    # A romanised name is heard in either order; a printed reading stands for both.
+    says = F.coalesce("kana", F.when(F.size("latin") > 0, F.array_join("latin", "|")))
+    held = rows.select(F.col("officer_id").alias("id"), F.struct("core", says.alias("says"), "cohort", birth.alias("birth"), "branch").alias("v"))
+    held = cut_lineage(held.where("v.core IS NOT NULL OR v.says IS NOT NULL"))
+    none = F.array().cast("array<string>")
+    names = F.when(F.length("v.core") >= 2, edge_tokens(F.col("v.core")))
+    # A reading may be that of the given name only, or lack its last sign.
+    heard = F.flatten(F.transform(F.split("v.says", "[|]"), lambda say: F.array(say, F.substr(say, F.lit(1), F.length(say) - 1))))
+    sounds = F.transform(F.flatten(F.transform(heard, lambda say: edge_tokens(say, frame=False))), lambda t: F.concat(F.lit("k:"), t))
+    every = F.array_distinct(F.concat(F.coalesce(names, none), F.coalesce(sounds, none)))
+    tokens = held.select("id", "v", F.explode(every).alias("token"), F.col("v.cohort").cast("string").alias("c"), F.col("v.birth.year").cast("string").alias("y"))
+
+    def may(a: Column, b: Column) -> Column:
+        unnamed = a["core"].isNull() | b["core"].isNull()
+        return F.when(unnamed, may_sound_like(a["says"], b["says"])).otherwise(may_be_like(a["core"], b["core"]))
+
+    pairs = block_pairs(refined_blocks(tokens, most, "c", "y"), may)
+    births, cohorts = day_level("va.birth", "vb.birth"), cohort_level(F.col("va.cohort"), F.col("vb.cohort"))
+    chance = chance_of(held, births, cohorts, 7, 5)
+    level = name_likeness(F.col("va.core"), F.col("vb.core")) * 6 + kana_likeness(F.col("va.says"), F.col("vb.says"))
+    complete = np.zeros((54, 7, 5))
+    complete[:, [SAME, IN_YEAR, OTHER_DAY], :] = complete[:, :, 1] = 1
+    anchors = tuple(n * 6 + k for n in (P.EQUAL, P.MOVED, P.WITHIN) for k in (P.KANA_NONE, P.KANA_NEAR, P.KANA_WITHIN, P.KANA_EQUAL))
+    scored = with_odds(pairs, level, births, cohorts, 54, chance, anchors, (USUAL_BIRTHS, USUAL_COHORTS), complete)
+    # Names under two thirds alike need a reading that says more.
+    unlike = (F.col("n") < P.NEAR * 6) & (F.col("n") % 6 < P.KANA_WITHIN)
+    return scored.where((F.col("score") >= ACCEPT) & ~unlike).select("a", "b", "score", "n", "f1", "f2")
+
+
+def printed_rows(officers: DataFrame, branch_vocab: DataFrame, kanji_variant: DataFrame) -> DataFrame:
+    """Checkpointed printed officers, with the words of romanised names."""
+    people = printed(officers, variant_map(kanji_variant), branch_entries(branch_vocab))
+    return cut_lineage(people.withColumn("words", words_of("name")).drop("name"))
 
 
 def cell_clusters(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``(obs_id, root)``: readings of linked cells and profiles share a root."""
-    cell = F.xxhash64(F.concat(F.lit("cell "), F.col("cell")))
-    held = rows.where("profile IS NOT NULL").select(cell.alias("a"), F.col("profile").alias("b")).distinct()
-    roots = components(held.unionByName(links.select("a", "b")))
-    vertex = rows.select("obs_id", cell.alias("id"))
-    return vertex.join(roots, "id", "left").select("obs_id", F.coalesce("root", "id").alias("root"))
+    """``(obs_id, root)``: readings of linked profiles share a root; a reading without a profile is its own."""
+    vertex = rows.select("obs_id", F.coalesce("profile", F.xxhash64(F.lit("row"), "obs_id")).alias("id"))
+    return vertex.join(components(links.select("a", "b")), "id", "left").select("obs_id", F.coalesce("root", "id").alias("root"))
 
 
 def reading_rows(observation_in: DataFrame, branch_vocab: DataFrame, kanji_variant: DataFrame) -> DataFrame:
     """Checkpointed readings with their profile."""
     variants = variant_map(kanji_variant)
-    return cut_lineage(profiles_of(readings(observation_in, variants, branch_entries(branch_vocab))))
+    rows = readings(observation_in, variants, branch_entries(branch_vocab))
+    rows = cut_lineage(rows.withColumn("words", words_of("name_raw")).drop("name_raw"))
+    return cut_lineage(profiles_of(by_cell(rows)))
 
 
 def distinct_profiles(rows: DataFrame) -> DataFrame:
-    return rows.where("profile IS NOT NULL").groupBy(F.col("profile").alias("id")).agg(F.min("core").alias("core"), F.min("day").alias("day"), F.min("year").alias("year"), F.min("branch").alias("branch"))
+    fields = [F.min(c).alias(c) for c in ("core", "words", "day", "year", "month", "within", "branch")]
+    return rows.where("profile IS NOT NULL").groupBy(F.col("profile").alias("id")).agg(*fields)
+
+
+def cell_pairs(rows: DataFrame) -> DataFrame:
+    """Each profile of a cell with the smallest one of it: ``(a, b)``, smaller id first."""
+    held = rows.where("profile IS NOT NULL").select("cell", F.col("profile").alias("p")).distinct()
+    low = held.groupBy("cell").agg(F.min("p").alias("a"))
+    return held.join(low, "cell").where("p <> a").select("a", F.col("p").alias("b")).distinct()
 
 
 def variant_pairs(observation_in: DataFrame, officers: DataFrame, branch_vocab: DataFrame, kanji_variant: DataFrame) -> DataFrame:
     """``(source_table, id_a, id_b)``, smaller id first: one officer, different names."""
+    people = printed_rows(officers, branch_vocab, kanji_variant)
     rows = reading_rows(observation_in, branch_vocab, kanji_variant)
-    links = linked_profiles(distinct_profiles(rows))
-    roots = cell_clusters(rows, links)
+    roots = cell_clusters(rows, linked_profiles(distinct_profiles(rows), cell_pairs(rows), learn(people)))
     named = rows.where("form <> ''").select("obs_id", "form").join(roots, "obs_id")
     a, b = (named.select(F.col("obs_id").alias(f"id_{s}"), F.col("form").alias(f"form_{s}"), "root") for s in "ab")
     entered = a.join(b, "root").where("id_a < id_b AND form_a <> form_b").select(F.lit("observation_in").alias("source_table"), "id_a", "id_b")
-    variants = variant_map(kanji_variant)
-    people = cut_lineage(printed(officers, variants, branch_entries(branch_vocab)))
     roots = components(linked_officers(people).select("a", "b")).select(F.col("id").alias("officer_id"), "root")
     named = people.select("officer_id", F.nullif("form", F.lit("")).alias("form"), F.nullif("reading_form", F.lit("")).alias("said")).join(roots.unionByName(roots.select(F.col("root").alias("officer_id"), "root").distinct()), "officer_id")
     a, b = (named.select(F.col("officer_id").alias(f"id_{s}"), F.col("form").alias(f"form_{s}"), F.col("said").alias(f"said_{s}"), "root") for s in "ab")

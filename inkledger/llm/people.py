@@ -15,9 +15,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
-from inkledger.functions.notations import _ERA, _NUM, _DIGITS, _ERA_OF, any_day, number, tidy
+from inkledger.functions.notations import _DIGITS, _ERA, _ERA_OF, _NUM, number, parse_day, tidy
 from inkledger.functions.text import form_of, on_distinct, repair, visible
 from inkledger.llm.canonical_values import UNMATCHED, Matcher, Normal, aliases
 from inkledger.session import cut_lineage
@@ -125,11 +125,40 @@ def year_of(text: str, context_era: str | None) -> int | None:
     return year if year <= last.year else None
 
 
-def years(text: Column, context_era: Column | None = None) -> Column:
-    @F.pandas_udf("int")
-    def run(texts: pd.Series, eras: pd.Series) -> pd.Series:
-        read = functools.lru_cache(None)(year_of)
-        return pd.Series([read(t, e if isinstance(e, str) else None) if isinstance(t, str) else None for t, e in zip(texts, eras)], dtype="Int32")
+_SEP = "(?:[、,.・/ -] ?|年 ?)"
+_MONTH_OF = re.compile("(?:" + _ERA + " ?)?" + _NUM + _SEP + _NUM + "(?:[、,.・/ -]|月|$)")
+_MONTH_DAY = re.compile(_SEP + _NUM + "(?:[、,.・/ -] ?|月 ?)" + _NUM + r"日?(?: ?[^\d]{1,4})?$")
+
+
+def date_facts(text: str, context_era: str | None) -> tuple[str | None, int | None, str | None, str | None]:
+    """What a date says that need not be complete: day, year, year and month, month and day."""
+    day = parse_day(text, context_era)
+    if day:
+        return day, int(day[:4]), day[:7], day[5:]
+    year = year_of(text, context_era)
+    d = tidy(text).translate(_DIGITS)
+    month = None
+    if year and (m := re.match(r"\d{4}[-/.年] ?(\d{1,2})(?!\d)", d) or _MONTH_OF.match(d)):
+        month = number(m.groups()[-1])
+    ending = _MONTH_DAY.search(d)
+    within = ending and (number(ending[1]), number(ending[2]))
+    return (
+        None,
+        year,
+        f"{year}-{month:02d}" if month and 1 <= month <= 12 else None,
+        f"{within[0]:02d}-{within[1]:02d}" if within and 1 <= within[0] <= 12 and 1 <= within[1] <= 31 else None,
+    )
+
+
+def dates_of(text: Column, context_era: Column | None = None) -> Column:
+    """``struct<day string, year int, month string, within string>`` of a date column."""
+
+    @F.pandas_udf("day string, year int, month string, within string")
+    def run(texts: pd.Series, eras: pd.Series) -> pd.DataFrame:
+        read = functools.lru_cache(None)(date_facts)
+        rows = [read(t, e if isinstance(e, str) else None) if isinstance(t, str) else (None,) * 4 for t, e in zip(texts, eras)]
+        out = pd.DataFrame(rows, columns=["day", "year", "month", "within"])
+        return out.astype({"year": "Int32"})
 
     return run(text, F.lit(None).cast("string") if context_era is None else context_era)
 
@@ -221,11 +250,8 @@ def name_ratio(a: str, b: str) -> float:
     least = (len(a) + len(b)) / 4
     if sum(min(a.count(c), b.count(c)) for c in set(a)) + a.count(WILD) + b.count(WILD) < least:
         return 0.0
-    best = _common(a, b)
-    if best < min(len(a), len(b)) and len(b) > 3:
-        best = max(best, _common(a, b[2:] + b[:2]), _common(a, b[-2:] + b[:-2]))
     doubt = 0.1 * (a.count(WILD) + b.count(WILD))
-    return max(0.0, min(0.99, 2 * best / (len(a) + len(b))) - doubt)
+    return max(0.0, min(0.99, 2 * _common_in_order(a, b) / (len(a) + len(b))) - doubt)
 
 
 def kana_ratio(a: str, b: str) -> float:
@@ -239,66 +265,158 @@ def kana_ratio(a: str, b: str) -> float:
     return min(0.99, 2 * _common(short, tail) / (len(short) + len(tail)))
 
 
+def _common_in_order(a: str, b: str) -> int:
+    best = _common(a, b)
+    if best < min(len(a), len(b)) and len(b) > 3:
+        best = max(best, _common(a, b[2:] + b[:2]), _common(a, b[-2:] + b[:-2]))
+    return best
+
+
+#: Levels of likeness of two names, from the length of their longest common subsequence: none;
+#: ratio of 0.6; ratio of 0.66 with one character missing; one character replaced; one replaced by an unreadable mark; one is
+#: the other with characters left out or doubled; the same characters in another order; equal.
+UNLIKE, DISTANT, NEAR, REPLACED, MARKED, WITHIN, MOVED, EQUAL = range(8)
+#: No name on one side.
+NO_NAME = 8
+
+
+def name_level(a: str, b: str) -> int:
+    if a == b:
+        return EQUAL if len(a) > 2 else NEAR
+    wild = a.count(WILD) + b.count(WILD)
+    common = _common_in_order(a, b)
+    ratio = 2 * common / (len(a) + len(b))
+    least, most = sorted((len(a), len(b)))
+    if ratio < 0.6:
+        return UNLIKE
+    if least >= 3 and not wild and least == most and sorted(a) == sorted(b):
+        return MOVED
+    if common == least >= 3 and most - least <= 2:
+        return WITHIN if not wild else MARKED if common - wild >= 2 else DISTANT
+    if least == most >= 4 and common == least - 1 and not wild:
+        return REPLACED
+    return NEAR if ratio >= 0.66 and common >= 3 and least - common <= 1 and not wild else DISTANT
+
+
+#: Levels of likeness of two folded readings: none on one side, unlike, 0.6, 0.75, the given name of
+#: the other, equal.
+KANA_NONE, KANA_UNLIKE, KANA_DISTANT, KANA_NEAR, KANA_WITHIN, KANA_EQUAL = range(6)
+
+
+def kana_level(a: str, b: str) -> int:
+    """The best over the readings that either side may have, separated by a bar."""
+    return max(_kana_level(x, y) for x in a.split("|") for y in b.split("|"))
+
+
+def _kana_level(a: str, b: str) -> int:
+    if a == b:
+        return KANA_EQUAL
+    short, long_ = sorted((a, b), key=len)
+    if len(short) >= 3 and long_.startswith(short):
+        return KANA_WITHIN
+    ratio = kana_ratio(a, b)
+    if ratio == 0.95:
+        return KANA_WITHIN
+    return KANA_NEAR if ratio >= 0.75 else KANA_DISTANT if ratio >= 0.6 else KANA_UNLIKE
+
+
+def _level_udf(function, missing: int):
+    """Level of two texts; ``missing`` if one of them is null."""
+
+    @F.pandas_udf(IntegerType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        level = functools.lru_cache(None)(function)
+        return pd.Series([level(x, y) if isinstance(x, str) and isinstance(y, str) else missing for x, y in zip(a, b)], dtype="int32")
+
+    return run
+
+
 def _pair_udf(function):
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        done: dict = {}
-        out = []
-        for key in zip(a, b):
-            if not isinstance(key[0], str) or not isinstance(key[1], str):
-                out.append(None)
-                continue
-            if key not in done:
-                done[key] = function(*key)
-            out.append(done[key])
-        return pd.Series(out, dtype="float64")
+        score = functools.lru_cache(None)(function)
+        return pd.Series([score(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
 
     return run
 
 
 name_similarity = _pair_udf(name_ratio)
-kana_similarity = _pair_udf(kana_ratio)
+name_likeness = _level_udf(name_level, NO_NAME)
+kana_likeness = _level_udf(kana_level, KANA_NONE)
+
+
+def may_be_like(a: Column, b: Column, ratio: float = 0.6) -> Column:
+    """Whether two names can reach a ratio of common subsequence: a bound from the characters that
+    the other name has at all, so that most pairs of a block never reach Python."""
+    size_a, size_b = F.length(a), F.length(b)
+    kept_a = size_a - F.length(F.call_function("translate", a, b, F.lit("")))
+    kept_b = size_b - F.length(F.call_function("translate", b, a, F.lit("")))
+    return (a == b) | a.contains(WILD) | b.contains(WILD) | (2 * F.least(kept_a, kept_b) >= ratio * (size_a + size_b))
+
+
+def may_sound_like(a: Column, b: Column) -> Column:
+    """Whether a reading can be like another, or the given name of the other: the same bound, against
+    the shorter one."""
+    size_a, size_b = F.length(a), F.length(b)
+    kept_a = size_a - F.length(F.call_function("translate", a, b, F.lit("")))
+    kept_b = size_b - F.length(F.call_function("translate", b, a, F.lit("")))
+    return F.least(kept_a, kept_b) >= 0.6 * F.least(size_a, size_b)
 
 
 def readings(observation_in: DataFrame, variants: dict[str, str], branches: list[tuple]) -> DataFrame:
     """One row for each reading: obs_id, cell, form, core, latin (readings of a romanised name), day,
-    year, branch.
+    year, month, within (month and day), branch.
 
-    Day and branch are those most readers of the cell give (of equals the larger), so that one
-    slip does not part a cell; a reading without a full cell key is a cell of its own.
+    A row delivered twice counts once; a reading without a full cell key is a cell of its own.
     """
     rows = observation_in.select("obs_id", "volume_id", "frame_no", "row_index", "name_raw", "commissioning_date", "context_era", "branch_code").where("obs_id IS NOT NULL").dropDuplicates(["obs_id"])
     full = F.col("volume_id").isNotNull() & F.col("frame_no").isNotNull() & F.col("row_index").isNotNull()
     rows = rows.select(
         "obs_id",
+        "name_raw",
         F.when(full, F.concat_ws(":", "volume_id", "frame_no", "row_index")).otherwise(F.concat(F.lit("#"), F.col("obs_id"))).alias("cell"),
         name_fields("name_raw", variants).alias("n"),
         romanised("name_raw").alias("latin"),
-        any_day(F.col("commissioning_date"), F.col("context_era")).alias("day"),
-        years(F.col("commissioning_date"), F.col("context_era")).alias("year"),
+        dates_of(F.col("commissioning_date"), F.col("context_era")).alias("d"),
         branch_of("branch_code", branches, variants).alias("branch"),
-    ).select("obs_id", "cell", "n.form", "n.core", "latin", "day", "year", "branch")
-    rows = cut_lineage(rows)
-    votes = rows.select("cell", F.explode(F.array(F.struct(F.lit("day").alias("f"), F.col("day").alias("v")), F.struct(F.lit("year").alias("f"), F.col("year").cast("string").alias("v")), F.struct(F.lit("branch").alias("f"), F.col("branch").alias("v")))).alias("x"))
+    )
+    return rows.select("obs_id", "cell", "name_raw", "n.form", "n.core", "latin", "d.day", "d.year", "d.month", "d.within", "branch")
+
+
+def by_cell(rows: DataFrame) -> DataFrame:
+    """Readings with the day, year and branch that most readings of their cell give (of equals the
+    larger), so that one slip does not part a cell."""
+    facts = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in ("day", "year", "month", "within", "branch")])
+    votes = rows.select("cell", F.explode(facts).alias("x"))
     votes = votes.where("x.v IS NOT NULL").groupBy("cell", "x.f", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    top = votes.groupBy("cell").agg(*[F.max(F.when(F.col("f") == f, F.struct("n", "v"))).alias(f) for f in ("day", "year", "branch")])
-    top = top.select("cell", F.col("day.v").alias("day"), F.coalesce(F.substring("day.v", 1, 4), F.col("year.v")).cast("int").alias("year"), F.col("branch.v").alias("branch"))
-    return rows.select("obs_id", "cell", "form", "core", "latin").join(top, "cell", "left")
+    top = votes.groupBy("cell").agg(*[F.max(F.when(F.col("f") == f, F.struct("n", "v"))).alias(f) for f in ("day", "year", "month", "within", "branch")])
+    day = F.col("day.v")
+    top = top.select(
+        "cell",
+        day.alias("day"),
+        F.coalesce(F.substring(day, 1, 4), F.col("year.v")).cast("int").alias("year"),
+        F.coalesce(F.substring(day, 1, 7), F.col("month.v")).alias("month"),
+        F.coalesce(F.substring(day, 6, 5), F.col("within.v")).alias("within"),
+        F.col("branch.v").alias("branch"),
+    )
+    return rows.select("obs_id", "cell", "form", "core", "latin", "words").join(top, "cell", "left")
 
 
 def printed(officers: DataFrame, variants: dict[str, str], branches: list[tuple]) -> DataFrame:
-    """One row for each printed officer: officer_id, form, core, reading_form, kana, cohort, days,
-    birth (day), birth_year, branch."""
+    """One row for each printed officer: officer_id, form, core, reading_form, kana, said, latin,
+    cohort, days, birth (day), birth_year, birth_month, branch."""
     rows = officers.select("officer_id", "name", "reading", "cohort", "dates", "birth", "post").where("officer_id IS NOT NULL").dropDuplicates(["officer_id"])
     base = rows.select(
         "officer_id",
         name_fields("name", variants).alias("n"),
         reading_fields("reading", variants).alias("r"),
+        romanised("name").alias("latin"),
+        "name",
         "cohort",
-        any_day(F.col("birth")).alias("birth"),
-        years(F.col("birth")).alias("birth_year"),
+        dates_of(F.col("birth")).alias("b"),
         branch_in_post("post", branches, variants).alias("branch"),
     )
-    listed = rows.select("officer_id", F.explode("dates").alias("d")).select("officer_id", any_day(F.col("d")).alias("day"), years(F.col("d")).alias("year"))
+    listed = rows.select("officer_id", F.explode("dates").alias("d")).select("officer_id", dates_of(F.col("d")).alias("d")).select("officer_id", "d.day", "d.year")
     dated = listed.groupBy("officer_id").agg(F.collect_set("day").alias("days"), F.collect_set("year").alias("years"))
-    return base.join(dated, "officer_id", "left").select("officer_id", "n.form", "n.core", F.col("r.form").alias("reading_form"), "r.kana", "r.said", "cohort", "days", "years", "birth", "birth_year", "branch")
+    columns = ["officer_id", "name", "n.form", "n.core", F.col("r.form").alias("reading_form"), "r.kana", "r.said", "latin", "cohort", "days", "years"]
+    return base.join(dated, "officer_id", "left").select(*columns, F.col("b.day").alias("birth"), F.col("b.year").alias("birth_year"), F.col("b.month").alias("birth_month"), "branch")

@@ -62,11 +62,50 @@ def test_long_chain(spark):
 
 
 def test_common_tokens_are_refined_not_dropped(spark):
-    rows = spark.createDataFrame([(i, "t", str(i % 5), None if i == 9 else str(i % 2)) for i in range(20)], "id long, token string, y string, d string")
-    blocks = refined_blocks(rows, 3, "y", "d")
-    assert {r.block for r in blocks.collect()} <= {f"t|{y}|{d}" for y in range(5) for d in range(2)}
+    """Common tokens join rows that agree in a field, very common ones those that agree in both; a row
+    without the field meets every row of the token, however common."""
+    rows = [(i, "t", str(i % 5), None if i == 9 else str(i % 2)) for i in range(20)] + [(20, "t", None, None), (30, "u", None, None), (31, "u", "1", "1")]
+    blocks = refined_blocks(spark.createDataFrame(rows, "id long, token string, y string, d string"), 3, "y", "d")
     pairs = {tuple(r) for r in block_pairs(blocks).collect()}
-    assert pairs == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 10 == b % 10 and a != 9}
+    want = {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 10 == b % 10 and 9 not in (a, b)}
+    want |= {(4, 9), (9, 14), (9, 19)} | {(i, 20) for i in range(20)} | {(30, 31)}
+    assert pairs == want
+
+
+def test_learnt_odds():
+    """Two classes of pairs, drawn with known agreement: the odds find them again."""
+    import numpy as np
+
+    from inkledger.llm.evidence import log_odds
+
+    rng = np.random.default_rng(5)
+    one, two = np.outer([0.1, 0.8, 0.1], [0.1, 0.9]), np.outer([0.1, 0.05, 0.85], [0.8, 0.2])
+    draw = lambda p, n: rng.multinomial(n, p.ravel() / p.sum()).reshape(p.shape)
+    counts = np.array([draw(one, 900) + draw(two, 100), draw(one, 50) + draw(two, 5000), np.zeros((3, 2))])
+    odds = log_odds(counts.astype(float), draw(two, 50_000).astype(float), (0,), (one.sum(axis=1), one.sum(axis=0)), np.ones((3, 3, 2)))
+    truth = lambda level, share: np.log(share / (1 - share)) + np.log(one) - np.log(two)
+    assert np.abs(odds[0] - truth(0, 0.9)).max() < 0.6 and np.abs(odds[1] - truth(1, 50 / 5050)).max() < 0.8
+    assert np.isfinite(odds).all()
+
+
+def test_sounds_are_learnt(spark):
+    """Readings of characters from names and readings, of the given name only or of both."""
+    from inkledger.llm.sounds import BOTH, INITIAL, SILENT, latin_words, learn, sound_level
+
+    parts = {"山": "ヤマ", "川": "カワ", "松": "マツ", "田": "タ", "正": "マサ", "一": "イチ", "夫": "オ", "義": "ヨシ"}
+    rows = []
+    for f1 in "山川松田":
+        for f2 in "山川松田":
+            for g1 in "正義":
+                for g2 in "一夫":
+                    said = "".join(parts[c] for c in f1 + f2 + g1 + g2)
+                    rows.append((f1 + f2 + g1 + g2, said if (ord(f1) + ord(g2)) % 2 else "".join(parts[c] for c in g1 + g2)))
+    table = learn(spark.createDataFrame([*rows, (None, "x"), ("山", None)], "core string, said string"))
+    assert {c: max(r, key=r.get) for c, r in table.items()} == parts
+    assert latin_words("Yamakawa, Masaichi") == ["ヤマカワ", "マサイチ"] and latin_words("М. Yamakawa") == ["m", "ヤマカワ"] and latin_words("山川正一") == [] and latin_words("A. B.") == []
+    assert sound_level("山川正一", latin_words("Masaichi Yamakawa"), table) == BOTH and sound_level("山川正一", latin_words("M. Yamakawa"), table) == INITIAL
+    assert sound_level("山川義一", latin_words("M. Yamakawa"), table) == SILENT and sound_level("山川正一", latin_words("Yoshio Matsuda"), table) == SILENT
+    assert learn(spark.createDataFrame([], "core string, said string")) == {}
 
 
 def _vocabularies(spark):
