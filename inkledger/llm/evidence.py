@@ -96,9 +96,13 @@ def log_odds(counts: np.ndarray, chance: np.ndarray, anchors: tuple[int, ...], u
     return out
 
 
-def looked_up(table: np.ndarray, *levels: Column) -> Column:
-    """Value of a table by the levels of a pair."""
-    at = levels[0].cast("int")
+def with_value(pairs: DataFrame, name: str, table: np.ndarray, *levels: str) -> DataFrame:
+    """``pairs`` with the value of a table by their levels; the table has ``COMBINATIONS`` cells at most
+    and is broadcast."""
+    if table.size > COMBINATIONS:
+        raise ValueError(f"over {COMBINATIONS} combinations")
+    at = F.col(levels[0]).cast("int")
     for level, size in zip(levels[1:], table.shape[1:]):
-        at = at * size + level.cast("int")
-    return F.element_at(F.array(*[F.lit(round(float(x), 4)) for x in table.ravel()]), at + 1)
+        at = at * size + F.col(level).cast("int")
+    cells = pairs.sparkSession.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(table.ravel())], f"_at int, {name} double")
+    return pairs.withColumn("_at", at).join(F.broadcast(cells), "_at").drop("_at")

@@ -24,7 +24,8 @@ def edge_tokens(core: Column, least: int = 2, frame: bool = True) -> Column:
 
 
 def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> DataFrame:
-    """``tokens`` with ``block`` and ``side`` instead of token, ``first`` and ``second``.
+    """``tokens`` with ``block`` and ``side`` instead of token, ``first`` and ``second``, which are
+    arrays of the values that a row may have in two further fields.
 
     Tokens of at most ``most`` rows are blocks as they are.  A more common one is discarded only
     after refining: its rows meet where they agree in the first field or in the second, and where
@@ -37,23 +38,26 @@ def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> Dat
         sizes = rows.groupBy(F.col("block").alias("_sized")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
         return cut_lineage(rows.join(sizes, F.col("block") == F.col("_sized"), "left").drop("_sized"))
 
-    def refined(*parts: Column) -> Column:
-        """One block for each part that is not null, else the whole against all."""
-        known = F.array_compact(F.array(*[F.when(p.isNotNull(), F.concat_ws("|", "block", F.lit(i), p)) for i, p in enumerate(parts)]))
-        loose = F.concat_ws("|", "block", F.lit("~"))
+    def refined(rows: DataFrame, known: Column) -> DataFrame:
+        """One block for each known value, else the whole against all."""
         entry = lambda block, side: F.struct(block.alias("b"), F.lit(side).alias("s"))
-        return F.explode(F.when(F.size(known) == 0, F.array(entry(loose, "l"))).otherwise(F.concat(F.transform(known, lambda k: entry(k, "b")), F.array(entry(loose, "r")))))
+        loose = F.concat_ws("|", "block", F.lit("~"))
+        split = F.transform(known, lambda k: entry(F.concat_ws("|", "block", k), "b"))
+        each = F.explode(F.when(F.size(known) == 0, F.array(entry(loose, "l"))).otherwise(F.concat(split, F.array(entry(loose, "r")))))
+        return rows.select(*keep, each.alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
 
+    none = F.array().cast("array<string>")
+    one, two = F.coalesce(F.col(first), none), F.coalesce(F.col(second), none)
     rows = tokens.withColumnRenamed("token", "block").withColumn("side", F.lit("b"))
     keep = [c for c in rows.columns if c not in ("block", "side")]
-    one, two = F.col(first), F.col(second)
     judged = sized(rows)
     rare = judged.where("_n IS NULL").drop("_n")
-    common = judged.where("_n IS NOT NULL").select(*keep, refined(one, two).alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
+    either = F.concat(F.transform(one, lambda v: F.concat(F.lit("1:"), v)), F.transform(two, lambda v: F.concat(F.lit("2:"), v)))
+    common = refined(judged.where("_n IS NOT NULL"), either)
     loose = common.where("side <> 'b'")
     judged = sized(common.where("side = 'b'"))
-    still = judged.where("_n IS NOT NULL").withColumn("_both", F.when(one.isNotNull() & two.isNotNull(), F.concat_ws("|", one, two)))
-    still = still.select(*keep, refined(F.col("_both")).alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
+    both = F.flatten(F.transform(one, lambda v: F.transform(two, lambda w: F.concat_ws("|", v, w))))
+    still = refined(judged.where("_n IS NOT NULL"), both)
     return rare.unionByName(loose).unionByName(judged.where("_n IS NULL").drop("_n")).unionByName(still).drop(first, second)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from inkledger.functions.text import variant_map
 from inkledger.llm import people as P
 from inkledger.llm import sounds
-from inkledger.llm.evidence import counted, log_odds, looked_up, random_pairs, table_of
+from inkledger.llm.evidence import counted, log_odds, random_pairs, table_of, with_value
 from inkledger.llm.graph import block_pairs, components, edge_tokens, refined_blocks
 from inkledger.llm.people import by_cell, kana_likeness, may_be_like, may_sound_like, name_likeness, printed, readings
 from inkledger.llm.sounds import Readings, learn, sounds_like, usual_words, words_of
@@ -87,13 +87,18 @@ def cohort_level(a: Column, b: Column) -> Column:
     return F.when(a == b, 1).when(F.abs(a - b) == 10, 2).when(F.abs(a - b) == 1, 3).when(a != b, 4).otherwise(0)
 
 
+def known(value: Column) -> Column:
+    """A value as the array of the values a row may have: one or none."""
+    return F.array_compact(F.array(value))
+
+
 def with_odds(pairs: DataFrame, names: Column, first: Column, second: Column, levels: int, chance: np.ndarray, anchors: tuple[int, ...], usual: tuple, complete: np.ndarray) -> DataFrame:
     """Pairs with ``score``, the log-odds of one person that names and two fields give together."""
     pairs = cut_lineage(pairs.withColumn("n", names).withColumn("f1", first).withColumn("f2", second))
     free = pairs.where("cell = 0") if "cell" in pairs.columns else pairs
     table = table_of(counted(free, F.col("n"), F.col("f1"), F.col("f2")), levels, len(usual[0]), len(usual[1]))
     odds = log_odds(table, chance, anchors, usual, complete)
-    return pairs.withColumn("score", looked_up(odds, F.col("n"), F.col("f1"), F.col("f2")))
+    return with_value(pairs, "score", odds, "n", "f1", "f2")
 
 
 def chance_of(rows: DataFrame, first: Column, second: Column, *sizes: int) -> np.ndarray:
@@ -127,9 +132,9 @@ def linked_profiles(profiles: DataFrame, cells: DataFrame, heard: Readings, most
     """
     fields = ("core", "words", "day", "year", "month", "within", "branch", "spread")
     named = cut_lineage(with_spread(profiles, "year").select("id", F.struct(*fields).alias("v"), usual_words(F.col("core"), heard).alias("usual")))
-    keys = [F.col("v.year").cast("string").alias("y"), F.col("v.branch").alias("b")]
+    keys = [known(F.col("v.year").cast("string")).alias("y"), known(F.col("v.branch")).alias("b")]
     tokens = named.where(F.length("v.core") >= 2).select("id", "v", F.explode(edge_tokens(F.col("v.core"))).alias("token"), *keys)
-    met = block_pairs(refined_blocks(tokens, most, "y", "b"), lambda a, b: may_be_like(a["core"], b["core"]))
+    met = block_pairs(refined_blocks(tokens, most, "y", "b"), lambda a, b: may_be_like(a["core"], b["core"], 0.66))
     # Romanised names meet written ones by the sound of either word, within those of a year or branch.
     whole = F.filter("v.words", lambda w: F.length(w) > 1)
     latin = named.where(F.size("v.words") > 0).select("id", "v", F.explode(whole).alias("token"), *keys)
@@ -167,11 +172,12 @@ def linked_officers(rows: DataFrame, most: int = COMMON) -> DataFrame:
     heard = F.flatten(F.transform(F.split("v.says", "[|]"), lambda say: F.array(say, F.substr(say, F.lit(1), F.length(say) - 1))))
     sounds = F.transform(F.flatten(F.transform(heard, lambda say: edge_tokens(say, frame=False))), lambda t: F.concat(F.lit("k:"), t))
     every = F.array_distinct(F.concat(F.coalesce(names, none), F.coalesce(sounds, none)))
-    tokens = held.select("id", "v", F.explode(every).alias("token"), F.col("v.cohort").cast("string").alias("c"), F.col("v.birth.year").cast("string").alias("y"))
+    tokens = held.select("id", "v", F.explode(every).alias("token"), known(F.col("v.cohort").cast("string")).alias("c"), known(F.col("v.birth.year").cast("string")).alias("y"))
 
     def may(a: Column, b: Column) -> Column:
-        unnamed = a["core"].isNull() | b["core"].isNull()
-        return F.when(unnamed, may_sound_like(a["says"], b["says"])).otherwise(may_be_like(a["core"], b["core"]))
+        sound = F.coalesce(may_sound_like(a["says"], b["says"]), F.lit(False))
+        named = may_be_like(a["core"], b["core"], 0.66) | (may_be_like(a["core"], b["core"]) & sound)
+        return F.coalesce(named, sound)
 
     pairs = block_pairs(refined_blocks(tokens, most, "c", "y"), may)
     births, cohorts = day_level("va.birth", "vb.birth"), cohort_level(F.col("va.cohort"), F.col("vb.cohort"))
@@ -181,8 +187,9 @@ def linked_officers(rows: DataFrame, most: int = COMMON) -> DataFrame:
     complete[:, [SAME, IN_YEAR, OTHER_DAY], :] = complete[:, :, 1] = 1
     anchors = tuple(n * 6 + k for n in (P.EQUAL, P.MOVED, P.WITHIN) for k in (P.KANA_NONE, P.KANA_NEAR, P.KANA_WITHIN, P.KANA_EQUAL))
     scored = with_odds(pairs, level, births, cohorts, 54, chance, anchors, (USUAL_BIRTHS, USUAL_COHORTS), complete)
-    # Names under two thirds alike need a reading that says more.
-    unlike = (F.col("n") < P.NEAR * 6) & (F.col("n") % 6 < P.KANA_WITHIN)
+    # Names under two thirds alike, or missing, need a reading that says more.
+    k, n = F.col("n") % 6, F.floor(F.col("n") / 6)
+    unlike = ((n < P.NEAR) & (k < P.KANA_WITHIN)) | ((n == P.NO_NAME) & (k < P.KANA_NEAR))
     return scored.where((F.col("score") >= ACCEPT) & ~unlike).select("a", "b", "score", "n", "f1", "f2")
 
 

@@ -360,7 +360,7 @@ def may_sound_like(a: Column, b: Column) -> Column:
     size_a, size_b = F.length(a), F.length(b)
     kept_a = size_a - F.length(F.call_function("translate", a, b, F.lit("")))
     kept_b = size_b - F.length(F.call_function("translate", b, a, F.lit("")))
-    return F.least(kept_a, kept_b) >= 0.6 * F.least(size_a, size_b)
+    return F.least(kept_a, kept_b) >= 0.75 * F.least(size_a, size_b)
 
 
 def readings(observation_in: DataFrame, variants: dict[str, str], branches: list[tuple]) -> DataFrame:

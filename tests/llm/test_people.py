@@ -64,8 +64,8 @@ def test_long_chain(spark):
 def test_common_tokens_are_refined_not_dropped(spark):
     """Common tokens join rows that agree in a field, very common ones those that agree in both; a row
     without the field meets every row of the token, however common."""
-    rows = [(i, "t", str(i % 5), None if i == 9 else str(i % 2)) for i in range(20)] + [(20, "t", None, None), (30, "u", None, None), (31, "u", "1", "1")]
-    blocks = refined_blocks(spark.createDataFrame(rows, "id long, token string, y string, d string"), 3, "y", "d")
+    rows = [(i, "t", [str(i % 5)], None if i == 9 else [str(i % 2)]) for i in range(20)] + [(20, "t", None, []), (30, "u", None, None), (31, "u", ["1"], ["1"])]
+    blocks = refined_blocks(spark.createDataFrame(rows, "id long, token string, y array<string>, d array<string>"), 3, "y", "d")
     pairs = {tuple(r) for r in block_pairs(blocks).collect()}
     want = {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 10 == b % 10 and 9 not in (a, b)}
     want |= {(4, 9), (9, 14), (9, 19)} | {(i, 20) for i in range(20)} | {(30, 31)}
