@@ -14,7 +14,8 @@ labels that are equal.
 
 Null labels are no votes; a cell without any has a null consensus; a label delivered twice
 counts once; ties go to the larger value.  Readers without a user_id are unknown: each of their
-labels (by label_id) is a vote of its own, with the accuracy that unknown readers have together.  No group is gathered: every step is an aggregation
+labels (by label_id) is a vote of its own, with the accuracy that unknown readers have together.  The rounds end when no accuracy moves; if that never happens, with an error.
+No group is gathered: every step is an aggregation
 with map-side combine or a join on keys, hot annotators meet only their own small row.
 """
 
@@ -31,7 +32,7 @@ UNREADABLE = "[〓□?？]"
 PARTICULAR_ERROR, MARKED, CUT = 1.6, -4.0, -1.5
 #: How much frequent dates and the rarest character of a name count.
 DATE_PRIOR, CHAR_PRIOR = 0.7, 0.5
-SMOOTHING, ROUNDS, STILL = 4.0, 30, 1e-3
+SMOOTHING, ROUNDS, STILL = 4.0, 200, 1e-3
 
 
 def votes_of(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -125,8 +126,8 @@ def settle(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[DataFra
         accuracy = tally.select("user_id", smoothed.alias("accuracy"), "n_judged", "was")
         moved = accuracy.agg(F.count(F.lit(1)), F.count("was"), F.max(F.abs(F.col("accuracy") - F.col("was")))).first()
         if moved[0] == 0 or moved[1] and moved[2] < STILL:
-            break
-    return votes, accuracy.drop("was")
+            return votes, accuracy.drop("was")
+    raise ArithmeticError(f"the annotators' accuracies have not settled in {ROUNDS} rounds")
 
 
 def consensus(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

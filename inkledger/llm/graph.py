@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,8 @@ def edge_tokens(core: Column, least: int = 2, frame: bool = True) -> Column:
 
 def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> DataFrame:
     """``tokens`` with ``block`` and ``side`` instead of token, ``first`` and ``second``, which are
-    arrays of the values that a row may have in two further fields.
+    arrays of the values that a row may have in two further fields.  Tokens may come with a side:
+    two rows of side ``r`` do not meet.
 
     Tokens of at most ``most`` rows are blocks as they are.  A more common one is discarded only
     after refining: its rows meet where they agree in the first field or in the second, and where
@@ -38,27 +40,27 @@ def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> Dat
         sizes = rows.groupBy(F.col("block").alias("_sized")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
         return cut_lineage(rows.join(sizes, F.col("block") == F.col("_sized"), "left").drop("_sized"))
 
-    def refined(rows: DataFrame, known: Column) -> DataFrame:
-        """One block for each known value, else the whole against all."""
-        entry = lambda block, side: F.struct(block.alias("b"), F.lit(side).alias("s"))
-        loose = F.concat_ws("|", "block", F.lit("~"))
-        split = F.transform(known, lambda k: entry(F.concat_ws("|", "block", k), "b"))
-        each = F.explode(F.when(F.size(known) == 0, F.array(entry(loose, "l"))).otherwise(F.concat(split, F.array(entry(loose, "r")))))
-        return rows.select(*keep, each.alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
+    def refined(rows: DataFrame, known: Column) -> tuple[DataFrame, DataFrame]:
+        """Blocks of each known value, and those in which rows without any meet all."""
+        entry = lambda block, side: F.struct(block.alias("b"), side.alias("s"))
+        opened = lambda each: rows.select(*keep, F.explode(each).alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
+        lacking = F.when(F.size(known) == 0, F.lit("l")).otherwise(F.lit("r"))
+        return opened(F.transform(known, lambda k: entry(F.concat_ws("|", "block", k), F.col("side")))), opened(F.array(entry(F.concat_ws("|", "block", F.lit("~")), lacking)))
 
     none = F.array().cast("array<string>")
     one, two = F.coalesce(F.col(first), none), F.coalesce(F.col(second), none)
-    rows = tokens.withColumnRenamed("token", "block").withColumn("side", F.lit("b"))
+    rows = tokens.withColumnRenamed("token", "block")
+    rows = rows if "side" in rows.columns else rows.withColumn("side", F.lit("b"))
     keep = [c for c in rows.columns if c not in ("block", "side")]
     judged = sized(rows)
     rare = judged.where("_n IS NULL").drop("_n")
     either = F.concat(F.transform(one, lambda v: F.concat(F.lit("1:"), v)), F.transform(two, lambda v: F.concat(F.lit("2:"), v)))
-    common = refined(judged.where("_n IS NOT NULL"), either)
-    loose = common.where("side <> 'b'")
-    judged = sized(common.where("side = 'b'"))
+    common, loose = refined(judged.where("_n IS NOT NULL"), either)
+    judged = sized(common)
     both = F.flatten(F.transform(one, lambda v: F.transform(two, lambda w: F.concat_ws("|", v, w))))
-    still = refined(judged.where("_n IS NOT NULL"), both)
-    return rare.unionByName(loose).unionByName(judged.where("_n IS NULL").drop("_n")).unionByName(still).drop(first, second)
+    still, looser = refined(judged.where("_n IS NOT NULL"), both)
+    parts = [rare, loose, judged.where("_n IS NULL").drop("_n"), still, looser]
+    return functools.reduce(DataFrame.unionByName, parts).drop(first, second)
 
 
 def block_pairs(blocks: DataFrame, may: Callable[[Column, Column], Column] | None = None) -> DataFrame:

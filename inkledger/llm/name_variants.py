@@ -27,7 +27,7 @@ from inkledger.llm import people as P
 from inkledger.llm import sounds
 from inkledger.llm.evidence import counted, log_odds, random_pairs, table_of, with_value
 from inkledger.llm.graph import block_pairs, components, edge_tokens, refined_blocks
-from inkledger.llm.people import by_cell, kana_likeness, may_be_like, may_sound_like, name_likeness, printed, readings
+from inkledger.llm.people import by_cell, char_bits, kana_likeness, may_be_like, may_sound_like, name_likeness, printed, readings
 from inkledger.llm.sounds import Readings, learn, sounds_like, usual_words, words_of
 from inkledger.session import cut_lineage, small_rows
 
@@ -131,10 +131,10 @@ def linked_profiles(profiles: DataFrame, cells: DataFrame, heard: Readings, most
     year: it must not bridge namesakes.
     """
     fields = ("core", "words", "day", "year", "month", "within", "branch", "spread")
-    named = cut_lineage(with_spread(profiles, "year").select("id", F.struct(*fields).alias("v"), usual_words(F.col("core"), heard).alias("usual")))
+    named = cut_lineage(with_spread(profiles, "year").select("id", F.struct(*fields, char_bits(F.col("core")).alias("bits")).alias("v"), usual_words(F.col("core"), heard).alias("usual")))
     keys = [known(F.col("v.year").cast("string")).alias("y"), known(F.col("v.branch")).alias("b")]
     tokens = named.where(F.length("v.core") >= 2).select("id", "v", F.explode(edge_tokens(F.col("v.core"))).alias("token"), *keys)
-    met = block_pairs(refined_blocks(tokens, most, "y", "b"), lambda a, b: may_be_like(a["core"], b["core"], 0.66))
+    met = block_pairs(refined_blocks(tokens, most, "y", "b"), lambda a, b: may_be_like(a["core"], b["core"], a["bits"], b["bits"], 0.66))
     # Romanised names meet written ones by the sound of either word, within those of a year or branch.
     whole = F.filter("v.words", lambda w: F.length(w) > 1)
     latin = named.where(F.size("v.words") > 0).select("id", "v", F.explode(whole).alias("token"), *keys)
@@ -164,20 +164,24 @@ def linked_officers(rows: DataFrame, most: int = COMMON) -> DataFrame:
     birth = F.struct(F.col("birth").alias("day"), F.col("birth_year").alias("year"), F.col("birth_month").alias("month"), F.substring("birth", 6, 5).alias("within"))
     # A romanised name is heard in either order; a printed reading stands for both.
     says = F.coalesce("kana", F.when(F.size("latin") > 0, F.array_join("latin", "|")))
-    held = rows.select(F.col("officer_id").alias("id"), F.struct("core", says.alias("says"), "cohort", birth.alias("birth"), "branch").alias("v"))
+    held = rows.select(F.col("officer_id").alias("id"), F.struct("core", says.alias("says"), char_bits(F.col("core")).alias("bits"), char_bits(says).alias("heard"), "cohort", birth.alias("birth"), "branch").alias("v"))
     held = cut_lineage(held.where("v.core IS NOT NULL OR v.says IS NOT NULL"))
     none = F.array().cast("array<string>")
     names = F.when(F.length("v.core") >= 2, edge_tokens(F.col("v.core")))
     # A reading may be that of the given name only, or lack its last sign.
     heard = F.flatten(F.transform(F.split("v.says", "[|]"), lambda say: F.array(say, F.substr(say, F.lit(1), F.length(say) - 1))))
     sounds = F.transform(F.flatten(F.transform(heard, lambda say: edge_tokens(say, frame=False))), lambda t: F.concat(F.lit("k:"), t))
-    every = F.array_distinct(F.concat(F.coalesce(names, none), F.coalesce(sounds, none)))
-    tokens = held.select("id", "v", F.explode(every).alias("token"), known(F.col("v.cohort").cast("string")).alias("c"), known(F.col("v.birth.year").cast("string")).alias("y"))
+    # Two written names meet by their own tokens; sound is for those without one.
+    entry = lambda side: lambda t: F.struct(t.alias("t"), side.alias("s"))
+    by_sound = F.when(F.col("v.core").isNull(), F.lit("b")).otherwise(F.lit("r"))
+    every = F.concat(F.transform(F.coalesce(names, none), entry(F.lit("b"))), F.transform(F.array_distinct(F.coalesce(sounds, none)), entry(by_sound)))
+    tokens = held.select("id", "v", F.explode(every).alias("t"), known(F.col("v.cohort").cast("string")).alias("c"), known(F.col("v.birth.year").cast("string")).alias("y"))
+    tokens = tokens.select("id", "v", F.col("t.t").alias("token"), F.col("t.s").alias("side"), "c", "y")
 
     def may(a: Column, b: Column) -> Column:
-        sound = F.coalesce(may_sound_like(a["says"], b["says"]), F.lit(False))
-        named = may_be_like(a["core"], b["core"], 0.66) | (may_be_like(a["core"], b["core"]) & sound)
-        return F.coalesce(named, sound)
+        bits = (a["core"], b["core"], a["bits"], b["bits"])
+        sound = F.coalesce(may_sound_like(a["says"], b["says"], a["heard"], b["heard"]), F.lit(False))
+        return F.when(a["core"].isNotNull() & b["core"].isNotNull(), may_be_like(*bits, 0.66) | (may_be_like(*bits) & sound)).otherwise(sound)
 
     pairs = block_pairs(refined_blocks(tokens, most, "c", "y"), may)
     births, cohorts = day_level("va.birth", "vb.birth"), cohort_level(F.col("va.cohort"), F.col("vb.cohort"))

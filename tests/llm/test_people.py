@@ -144,6 +144,16 @@ def test_variants_and_links(spark):
     assert all(0 <= c <= 1 for c in links.values())
 
 
+def test_unsettled_rounds_are_an_error(spark, monkeypatch):
+    from inkledger.llm import consensus
+
+    labels = spark.createDataFrame([(i, f"c{i % 4}", f"u{i % 3}", "甲" if i % 5 else "乙", None, None) for i in range(24)], "label_id long, cell_id string, user_id string, name_raw string, seniority_no int, commissioning_date string")
+    assert consensus.consensus(labels).count() == 12
+    monkeypatch.setattr(consensus, "ROUNDS", 1)
+    with pytest.raises(ArithmeticError):
+        consensus.consensus(labels)
+
+
 def test_empty_tables(spark):
     e, p = spark.createDataFrame([], ENTERED), spark.createDataFrame([], PRINTED)
     branches, variants = _vocabularies(spark)
