@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 #: Characters that count as text of a reading: kana, ideographs, ASCII letters and digits.
@@ -19,6 +21,24 @@ def folded(column: Column | str, variants: dict[str, str]) -> Column:
     return F.translate(F.trim(column), "".join(variants), "".join(variants.values()))
 
 
+def canonical(variants: dict[str, str]):
+    """Column function: compatibility forms, trimmed, the variant table in a single pass; for
+    comparison only, null gives ``''``."""
+    table = str.maketrans(variants)
+
+    @F.pandas_udf(StringType())
+    def run(values: pd.Series) -> pd.Series:
+        fold = functools.lru_cache(None)(lambda x: unicodedata.normalize("NFKC", x).strip().translate(table))
+        return pd.Series([fold(x) if isinstance(x, str) else "" for x in values], dtype=object)
+
+    return run
+
+
+def sha256(column: Column | str) -> Column:
+    """SHA-256 of a text's UTF-8 bytes, in hexadecimal."""
+    return F.sha2(F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary"), 256)
+
+
 def plain_number(column: Column) -> Column:
     """``struct<value bigint, reason string>``: a plain number xor a refusal."""
     text = F.trim(F.translate(column, WIDE_DIGITS, DIGITS))
@@ -32,10 +52,10 @@ def geta_count(column: Column | str) -> Column:
 
 
 def strip_marks(column: Column | str) -> Column:
-    """Text without bracketed notes, unreadable marks and anything but text characters."""
-    c = F.regexp_replace(column, "(?s)（.*?）", "")
-    c = F.regexp_replace(c, "(?s)[\\[［].*?[\\]］]", "")
-    c = F.regexp_replace(c, "〔?〓+〕?|〔\\?〕", "")
+    """Text without what stands in ASCII brackets, unreadable and uncertain marks, and anything but
+    text characters; full-width brackets fall, what is in them stays."""
+    c = F.regexp_replace(column, "(?s)\\(.*?\\)|\\[.*?\\]", "")
+    c = F.replace(F.replace(c, F.lit("〔?〕"), F.lit("")), F.lit("〓"), F.lit(""))
     return F.regexp_replace(c, f"[^{TEXT_CHARS}]", "")
 
 
@@ -72,17 +92,26 @@ def contents_entry(column: Column | str) -> Column:
     return F.struct(part(1).alias("section"), part(2).try_cast("int").alias("page"), part(3).try_cast("int").alias("frame"))
 
 
-def box_class(text: Column, rel_y: Column, width: Column, median_width: Column) -> Column:
-    """What a box of a roster column holds, by an ordered decision on text, place and width."""
+#: What tells the fields of a roster column apart by their text.
+ERA_START, NUMBER, POST_HINT, HONOUR_HINT, KATAKANA = "^[明大昭]", "^\\p{Nd}{1,4}$", "[長附官員部隊課級校]", "[从正勲功旭瑞]", "^[ァ-ヶー・]+$"
+
+
+def box_field(text: Column, place: Column, width: Column, median_width: Column) -> Column:
+    """The field that a box of a roster column belongs to, by an ordered decision on text, place (share
+    of the table's height from above) and width; null for a blank one.
+
+    ``seniority`` is a candidate: only the first of a column is its number.
+    """
+    t = F.replace(F.trim(text), F.lit(" "), F.lit(""))
+    n = F.translate(t, WIDE_DIGITS, DIGITS).try_cast("int")
     return (
-        F.when(text.rlike("^[0-9０-９]{1,4}$") & rel_y.between(0.30, 0.55), "seniority")
-        .when(text.rlike("^(明治|大正|昭和|[明大昭])"), "date")
-        .when(text.rlike("[勲功章]"), "honours")
-        .when(text.rlike("[ァ-ヶ]{2,}"), "reading")
-        .when(text.rlike("[長附官員班部]$"), "post")
-        .when(width >= 1.35 * median_width, "name")
-        .when(rel_y > 0.8, "foot")
-        .when(rel_y < 0.1, "head")
+        F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string"))
+        .when(t.rlike(NUMBER), F.when((place > 0.8) & (n < 60), "cohort").when((place > 0.3) & (place < 0.55), "seniority").otherwise("other"))
+        .when(t.rlike(ERA_START), F.when(place > 0.6, "birth").otherwise("date"))
+        .when(t.rlike(KATAKANA) & (place > 0.55), "reading")
+        .when(t.rlike(HONOUR_HINT) & (place > 0.55) & (place < 0.82) & (F.length(t) <= 8), "honours")
+        .when(t.rlike(POST_HINT) & (place < 0.72), "post")
+        .when((place > 0.6) & (width >= 1.35 * median_width) & ~t.startswith("同") & ~t.rlike("[、。\\p{Nd}]"), "name")
         .otherwise("other")
     )
 
@@ -118,6 +147,24 @@ def _coverage(line: str, page: str) -> float:
     return sum(m.size for m in blocks) / len(line)
 
 
+def _page_ratio(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def folded_similarity(variants: dict[str, str]):
+    """Gestalt ratio after both sides are folded (compatibility forms, trimmed, the variant table in a
+    single pass): 0 if either is empty, 1 if they are equal.  The folded form is compared, never
+    given back."""
+    table = str.maketrans(variants)
+
+    def fold(x: str) -> str:
+        return unicodedata.normalize("NFKC", x).strip().translate(table)
+
+    return _likeness(lambda a, b: _ratio(fold(a), fold(b)))
+
+
+#: Ratio of two pages, every character counting.
+page_likeness = _likeness(_page_ratio)
 #: Gestalt ratio of reading and entry (argument order matters), 0 if either is empty.
 similarity = _likeness(_ratio)
 #: Share of a line's characters found, in order, on a page.

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkledger.functions.readings import region_url
 from inkledger.operators.sequences import longest_regular_run, steps
 
 
@@ -51,25 +52,53 @@ def registrations(bands: DataFrame, templates: dict[str, Sequence[float]], toler
     return forward.join(back, ["panel", "template_id"]).select("panel", "template_id", "matched", F.round("residual", 6).alias("residual"), F.round("explained", 6).alias("explained"))
 
 
-def classify(registered: DataFrame, panels: DataFrame, gates: dict[str, tuple[int, float]]) -> DataFrame:
+def classify(registered: DataFrame, panels: DataFrame, gates: dict[str, tuple[int, float] | tuple[int, float, int]]) -> DataFrame:
     """The template that passes its gates with most matches, then least residual, then first id;
-    a panel that none fits is refused (null).  ``gates`` has the least number of matches and the
-    least explained share of each template."""
+    a panel that none fits is refused (null).  ``gates`` has the least number of matches, the least
+    explained share and, if ``panels`` counts ``columns``, the least number of officer columns."""
     fits = F.lit(False)
-    for template, (bands, explained) in gates.items():
-        fits = fits | ((F.col("template_id") == template) & (F.col("matched") >= bands) & (F.col("explained") >= explained))
-    passed = registered.where(fits)
+    for template, (bands, explained, *columns) in gates.items():
+        enough = F.col("columns") >= columns[0] if columns else F.lit(True)
+        fits = fits | ((F.col("template_id") == template) & (F.col("matched") >= bands) & (F.col("explained") >= explained) & enough)
+    passed = (registered.join(panels.select("panel", "columns"), "panel") if "columns" in panels.columns else registered).where(fits)
     best = passed.groupBy("panel").agg(F.min(F.struct((-F.col("matched")).alias("m"), "residual", "template_id")).alias("b"))
     return panels.join(best, "panel", "left").select("panel", F.col("b.template_id").alias("template_id"), (-F.col("b.m")).alias("matched"))
 
 
+#: Shares of a panel's width between which a ruling can be the table's; pages' borders lie outside.
+EDGES = (0.03, 0.95)
+#: Multiples of the median step between which a step counts for the pitch.
+USUAL_STEPS = (0.6, 1.4)
+
+
+def inner_rulings(lines: DataFrame, panels: DataFrame) -> DataFrame:
+    """Vertical lines that are no borders of page or film; ``panels`` has panel and width."""
+    inside = (F.col("axis") != "v") | F.col("pos").between(EDGES[0] * F.col("width"), EDGES[1] * F.col("width"))
+    return lines.join(panels.select("panel", "width"), "panel").where(inside).drop("width")
+
+
+def grids(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """Panels that have a grid: two horizontal and two vertical lines at least, and two edges of
+    columns; with the numbers of each.  Other panels are refused, that is, missing here."""
+    seen = lines.groupBy("panel").agg(F.count_if(F.col("axis") == "h").alias("bands"), F.count_if(F.col("axis") == "v").alias("rulings"))
+    columns = edges.groupBy("panel").agg((F.count(F.lit(1)) - 1).alias("columns"))
+    return seen.join(columns, "panel").where("bands >= 2 AND rulings >= 2 AND columns >= 1")
+
+
+def largest_regions(regions: DataFrame, key: str, region: str) -> DataFrame:
+    """The largest region of every key by area, of equals the first: key, region, area."""
+    area = (F.col("w") * F.col("h")).cast("double")
+    best = regions.groupBy(key).agg(F.min(F.struct((-area).alias("a"), region)).alias("b"))
+    return best.select(key, F.col(f"b.{region}").alias(region), (-F.col("b.a")).alias("area"))
+
+
 def column_grid(lines: DataFrame) -> DataFrame:
     """Officer columns from vertical lines: pitch, the regular run's edges and what was filled in.
 
     Between edges of the run a step of k pitches gets k-1 evenly spaced edges, marked.
     """
     rows = lines.where("axis = 'v'").select("panel", "pos").distinct().withColumn("tie", F.lit(0))
-    run = longest_regular_run(rows, ["panel"], "pos", "tie")
+    run = longest_regular_run(rows, ["panel"], "pos", "tie", usual=USUAL_STEPS)
     placed = steps(rows, ["panel"], "pos", "tie").join(run, "panel").where(F.col("k").between(F.col("first_k") - 1, F.col("last_k")))
     following = F.lead("pos").over(Window.partitionBy("panel").orderBy("k"))
     gaps = placed.select("panel", "pos", "pitch", following.alias("next"))
@@ -134,6 +163,29 @@ def boxes_in_panels(boxes: DataFrame, panels: DataFrame) -> DataFrame:
     return boxes.join(panels, "page").where(inside)
 
 
+def with_urls(cells: DataFrame, service: Column, width: Column, height: Column) -> DataFrame:
+    """Cells with the image region of the cell and of its officer's strip (all fields of the column), as
+    URLs; null for what lies outside the page."""
+    strip = Window.partitionBy("panel", "column")
+    top, bottom = F.min("top").over(strip), F.max("bottom").over(strip)
+
+    def url(y0: Column, y1: Column) -> Column:
+        x, y = F.floor(F.col("left")), F.floor(y0)
+        r = clamped(x, y, F.ceil(F.col("right")) - x, F.ceil(y1) - y, width, height)
+        return F.when(r.isNotNull(), region_url(service, r.x, r.y, r.w, r.h))
+
+    return cells.withColumn("cell_url", url(F.col("top"), F.col("bottom"))).withColumn("strip_url", url(top, bottom))
+
+
+def field_errors(asked: DataFrame, fields: DataFrame, counts: DataFrame) -> DataFrame:
+    """Asked cells (panel, column, field) that a panel does not have, with the reason: a column out of
+    range, a field unknown to the template."""
+    known = fields.select("panel", "field", F.lit(True).alias("_known")).distinct()
+    both = asked.join(counts.select("panel", "columns"), "panel", "left").join(known, ["panel", "field"], "left")
+    outside = F.col("columns").isNull() | (F.col("column") < 0) | (F.col("column") >= F.col("columns"))
+    return both.withColumn("error", F.when(outside, "column out of range").when(F.col("_known").isNull(), "unknown field")).where("error IS NOT NULL").select("panel", "column", "field", "error")
+
+
 def page_payload(cells: DataFrame) -> DataFrame:
     """Officers of a panel in reading order with their cells, and whether any needs review."""
     cell = F.struct("field", "left", "right", "top", "bottom", "suspect")
@@ -152,5 +204,9 @@ def seniority_columns(boxes: DataFrame, top: float = 0.30, bottom: float = 0.55)
     anchors = boxes.where(F.col("text").rlike("^[0-9０-９]{1,4}$") & F.col("y").between(top, bottom)).select("panel", F.col("box").alias("anchor"), F.col("x").alias("centre"), F.translate("text", "０１２３４５６７８９", "0123456789").cast("int").alias("seniority"), "panel_width")
     stepped = anchors.withColumn("step", F.col("centre") - F.lag("centre").over(Window.partitionBy("panel").orderBy("centre", "anchor")))
     pitch = stepped.groupBy("panel").agg(F.coalesce(F.median("step"), F.max("panel_width") / 2).alias("pitch"))
-    both = boxes.join(anchors.drop("panel_width").join(pitch, "panel"), "panel")
+    # By buckets of a panel's pitch, so a box meets the anchors near it and no others.
+    touched = F.explode(F.array_distinct(F.array(*[F.floor((F.col("centre") + k * F.col("pitch") / 2) / F.col("pitch")) for k in (-1, 0, 1)])))
+    near = anchors.drop("panel_width").join(pitch.where("pitch > 0"), "panel").withColumn("bucket", touched)
+    placed = boxes.join(pitch.select("panel", F.col("pitch").alias("_p")), "panel").withColumn("bucket", F.floor(F.col("x") / F.col("_p"))).drop("_p")
+    both = placed.join(near, ["panel", "bucket"])
     return both.where(F.abs(F.col("x") - F.col("centre")) <= F.col("pitch") / 2).select("panel", "anchor", "seniority", "box", "x", "y", "text")

@@ -72,11 +72,28 @@ def contents_by_frame(df: DataFrame, entry: str) -> DataFrame:
     return df.withColumn("e", contents_entry(F.col(entry))).where("e.frame IS NOT NULL").select(*df.columns, "e.section", "e.page", "e.frame")
 
 
-def text_blocks(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
-    """Blocks of a text that header lines part, numbered from 1; what precedes the first header
-    belongs to none."""
-    blocks = F.filter(F.split(text, header), lambda b: F.trim(b) != "")
-    return df.select(key, F.posexplode(blocks).alias("at", "block")).select(key, (F.col("at") + 1).alias("block_no"), "block")
+def text_blocks(df: DataFrame, key: str, text: str, header: str = "=== Image (\\d+)") -> DataFrame:
+    """Blocks of a text that header lines part: (key, page_no, block).
+
+    A header stands at the start of a line and has the page's number as its first group; its line is
+    no part of the block.  What precedes the first header belongs to no page and is left out.
+    """
+    blocks = F.split(text, f"(?md)(?=^{header})")
+    rows = df.select(key, F.explode(blocks).alias("_b"))
+    number = F.regexp_extract("_b", f"(?md)^{header}", 1).try_cast("int")
+    line = F.regexp_replace("_b", f"(?md)^{header}.*$", "")
+    return rows.where(F.col("_b").rlike(f"(?md)\\A{header}")).select(key, number.alias("page_no"), line.alias("block"))
+
+
+def extra_issue(title: Column) -> Column:
+    """Whether a title is of an extra issue, in either spelling."""
+    return title.contains("号外") | title.contains("號外")
+
+
+def annotated_frames(frames: DataFrame, contents: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Every frame with the list of contents labels that begin on it, in order; empty for none."""
+    listed = contents.groupBy(*keys).agg(F.array_sort(F.collect_list(label)).alias("labels"))
+    return frames.join(listed, keys, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], text: str, size: int = 15) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkledger.functions.readings import sha1_mod_100
+from inkledger.functions.readings import DIGITS, WIDE_DIGITS, box_field, page_likeness, sha1_mod_100, strip_marks
 
 PROBABLE, MARGIN, AMBIGUOUS = 0.90, 0.15, 0.60
 
@@ -109,3 +109,48 @@ def machine_readings(suggested: DataFrame, key: str, engine: str) -> DataFrame:
 def text_lines(df: DataFrame, text: str, boilerplate: str, least: int = 6) -> DataFrame:
     """Lines that are text: not boilerplate; ``counted`` tells those long enough to be scored."""
     return df.where(F.col(text).isNotNull() & ~F.col(text).rlike(boilerplate)).withColumn("counted", F.length(text) >= least)
+
+
+def page_agreement(first: DataFrame, second: DataFrame, key: str, page: str) -> DataFrame:
+    """Likeness of two readings of every page of the first: ``first`` and ``second`` have key, page and
+    text (cleaned of marks here); a page the second lacks counts as empty, two empty ones as equal."""
+    other = second.select(key, page, strip_marks("text").alias("_other"))
+    both = first.select(key, page, strip_marks("text").alias("_own")).join(other, [key, page], "left")
+    return both.select(key, page, page_likeness(F.coalesce("_own", F.lit("")), F.coalesce("_other", F.lit(""))).alias("score"))
+
+
+def agreement_summary(scores: DataFrame, key: str, page: str, low: float = 0.25) -> DataFrame:
+    """Pages, mean likeness and, in order, the pages under ``low``, which are to be looked at first."""
+    poor = F.array_sort(F.collect_list(F.when(F.col("score") < low, F.col(page))))
+    return scores.groupBy(key).agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("score"), 6).alias("mean"), poor.alias("low"))
+
+
+def fields_of_columns(boxes: DataFrame, key: str) -> DataFrame:
+    """One record for each column of boxes (key, line, text, place, width): seniority, cohort, name,
+    reading, post, dates, birth, honours, other.
+
+    Boxes are taken in order of ``line``; the first number of the seniority band is the seniority,
+    later ones are ``other``; the last cohort counts; name parts stand from above to below; parts of
+    a field are joined.  A column holds tens of boxes.
+    """
+    middle = boxes.groupBy(key).agg(F.median("width").alias("_m"))
+    wide = F.when(F.col("_m") == 0, 1.0).otherwise(F.col("_m"))
+    kinds = boxes.join(middle, key).withColumn("kind", box_field(F.col("text"), F.col("place"), F.col("width"), wide))
+    t = F.replace(F.trim("text"), F.lit(" "), F.lit(""))
+    number = F.translate(t, WIDE_DIGITS, DIGITS).try_cast("int")
+    rows = kinds.where("kind IS NOT NULL").select(key, "line", "kind", "place", t.alias("t"), F.trim("text").alias("whole"), number.alias("n"))
+    first = F.min(F.when(F.col("kind") == "seniority", F.col("line"))).over(Window.partitionBy(key))
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "seniority") & (F.col("line") > first), "other").otherwise(F.col("kind")))
+    listed = lambda kind, order="line", value="t": F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(order, "line", value)))), lambda s: s[value])
+    joined = lambda parts: F.nullif(F.array_join(parts, ""), F.lit(""))
+    return rows.groupBy(key).agg(
+        F.max(F.when(F.col("kind") == "seniority", F.col("n"))).alias("seniority"),
+        F.max_by("n", F.when(F.col("kind") == "cohort", F.col("line"))).alias("cohort"),
+        joined(listed("name", "place", "whole")).alias("name"),
+        joined(listed("reading")).alias("reading"),
+        joined(listed("post")).alias("post"),
+        listed("date").alias("dates"),
+        joined(listed("birth")).alias("birth"),
+        joined(listed("honours")).alias("honours"),
+        listed("other").alias("other"),
+    )

@@ -27,6 +27,31 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, start: str, end: str, widt
     return both.where(meet & (F.floor(begin / width) == F.col("bucket"))).drop("bucket")
 
 
+def overlap_totals(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Per key: pairs of intervals that overlap or touch, and the days they share, summed over pairs.
+
+    No pair is made: intervals are counted by the day they begin and the day they end, and running
+    sums over a key's days do the rest.  The days of a key are as many as the calendar has, however
+    many intervals lie on them.  Both ends are given and in order; keys without a pair are left out.
+    """
+    day = F.explode(F.array(F.struct(F.col(start).alias("d"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col(end).alias("d"), F.lit(0).alias("s"), F.lit(1).alias("e"))))
+    days = intervals.select(key, day.alias("x")).groupBy(key, F.col("x.d").alias("d")).agg(F.sum("x.s").alias("s"), F.sum("x.e").alias("e"))
+    order = Window.partitionBy(key).orderBy("d")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = days.select(
+        key,
+        "e",
+        F.sum("s").over(Window.partitionBy(key)).alias("n"),
+        F.sum("s").over(upto).alias("begun"),
+        (F.sum("s").over(upto) - F.sum("e").over(upto)).alias("open"),
+        (F.lead("d").over(order) - F.col("d")).alias("span"),
+    )
+    apart = F.sum(F.col("e") * (F.col("n") - F.col("begun")))
+    shared = F.sum((F.coalesce("span", F.lit(0)) * F.col("open") * (F.col("open") - 1) / 2).cast("bigint"))
+    totals = swept.groupBy(key).agg(((F.max("n") * (F.max("n") - 1) / 2).cast("bigint") - apart).alias("pairs"), shared.alias("days"))
+    return totals.where("pairs > 0")
+
+
 def linkage_score(weights: list[tuple[Column, float, float]]) -> Column:
     """Sum of agreement and disagreement weights; a comparison that is null says nothing."""
     total = F.lit(0.0)
@@ -76,3 +101,17 @@ def throughput(readings: DataFrame) -> DataFrame:
     month = F.date_format("created_at", "yyyy-MM")
     share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 6)
     return readings.groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("readings"), F.count_distinct("author_user_id").alias("readers"), share(F.col("status") == "flagged").alias("flag_rate"), share(F.col("person_id").isNotNull()).alias("link_rate"), F.count_distinct("page_id").alias("pages"))
+
+
+def event_scores(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: events found, true, both, precision and recall; distinct events by ``keys``."""
+    a, b = found.select(*keys).distinct().withColumn("_a", F.lit(1)), truth.select(*keys).distinct().withColumn("_b", F.lit(1))
+    n = a.join(b, keys, "full").agg(F.count("_a").alias("found"), F.count("_b").alias("true"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))
+    return n.select("found", "true", "both", F.round(F.try_divide("both", "found"), 6).alias("precision"), F.round(F.try_divide("both", "true"), 6).alias("recall"))
+
+
+def coverage(read: DataFrame, worklist: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Per group of a worklist: items, those read, and the share."""
+    done = worklist.select(*keys, group).distinct().join(read.select(*keys).distinct().withColumn("_r", F.lit(1)), keys, "left")
+    counted = done.groupBy(group).agg(F.count(F.lit(1)).alias("items"), F.count("_r").alias("done"))
+    return counted.withColumn("share", F.round(F.col("done") / F.col("items"), 6))

@@ -126,6 +126,16 @@ def build_readings(df: DataFrame, parsed: Column) -> DataFrame:
     return out.select("obs_id", F.col("_d.value").alias("day"), F.col("_d.reason").alias("reason"), F.array_join(refused, ",").alias("flagged"), F.array_join(recheck, ",").alias("needs_recheck"), blank("name_raw", "rank_code", "branch_code", "post", "commissioning_date").alias("is_blank"))
 
 
+def not_exactly_one(*columns: str) -> Column:
+    """Whether none or more than one of the columns is given."""
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0)) != 1
+
+
+def ends_before(start: str, end: str) -> Column:
+    """Whether an interval ends before it begins; an open one does not."""
+    return F.coalesce(F.col(end) < F.col(start), F.lit(False))
+
+
 def constraint_violations(checks: Sequence[tuple[str, DataFrame, str, Column]]) -> DataFrame:
     """``(constraint, key, n)``: rows that break a rule, as (name, table, key column, condition)."""
     out = None

@@ -51,11 +51,16 @@ def steps(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     return df.withColumn("k", F.row_number().over(window)).withColumn("step", F.col(value) - F.lag(value).over(window))
 
 
-def longest_regular_run(df: DataFrame, keys: list[str], value: str, tie: str, tolerance: float = 0.2, most: int = 4) -> DataFrame:
+def longest_regular_run(df: DataFrame, keys: list[str], value: str, tie: str, tolerance: float = 0.2, most: int = 4, usual: tuple[float, float] | None = None) -> DataFrame:
     """Longest run of steps near a whole multiple (1..``most``) of the median step; the earliest
-    of equals.  Gives first and last place of the run, its steps and the pitch."""
+    of equals.  Gives first and last place of the run, its steps and the pitch.  With ``usual`` the
+    pitch is the median of the steps within these multiples of the median of all, if there are any."""
     stepped = steps(df.where(F.col(value).isNotNull()), keys, value, tie)
-    pitch = stepped.where("step IS NOT NULL").groupBy(*keys).agg(F.median("step").alias("pitch")).where("pitch > 0")
+    pitch = stepped.where("step IS NOT NULL").groupBy(*keys).agg(F.median("step").alias("pitch"))
+    if usual is not None:
+        core = stepped.join(pitch, keys).where(F.col("step").between(usual[0] * F.col("pitch"), usual[1] * F.col("pitch"))).groupBy(*keys).agg(F.median("step").alias("_core"))
+        pitch = pitch.join(core, keys, "left").select(*keys, F.coalesce("_core", "pitch").alias("pitch"))
+    pitch = pitch.where("pitch > 0")
     times = F.col("step") / F.col("pitch")
     whole = F.round(times)
     good = stepped.where("step IS NOT NULL").join(pitch, keys).where((whole >= 1) & (whole <= most) & (F.abs(times - whole) <= tolerance))
@@ -104,6 +109,39 @@ def next_unread(read: DataFrame, keys: list[str], value: str) -> DataFrame:
     return following.join(here, [*keys, value], "left_anti").groupBy(*keys).agg(F.min(value).alias("next_unread"))
 
 
+def next_after(read: DataFrame, current: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """For each current number of a key the smallest greater one that has not been read, null where
+    none has: ``current`` has keys and ``at``."""
+    here = read.select(*keys, value).distinct()
+    last = here.groupBy(*keys).agg(F.max(value).alias("_top"))
+    island = F.col(value) - F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    runs = here.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min(value).alias("_from"), F.max(value).alias("_to"))
+    # the first number after `at` is free, or it lies in a run, which is then passed
+    met = current.join(last, keys, "left").join(runs, keys, "left").where(F.col("_from").isNull() | (F.col("at") + 1).between(F.col("_from"), F.col("_to")))
+    held = met.groupBy(*keys, "at").agg(F.max("_to").alias("_to"))
+    return current.join(held, [*keys, "at"], "left").select(*keys, "at", (F.coalesce("_to", "at") + 1).alias("next_unread"))
+
+
+def page_labels(frames: DataFrame, model: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """Estimated printed pages of frames by their key's page-number model: front matter before page 1,
+    two pages where the slope is 2; unknown without a model."""
+    page = F.floor(F.col("slope") * F.col(frame) + F.col("offset"))
+    number = page.cast("bigint").cast("string")
+    label = (
+        F.when(F.col("slope").isNull(), "printed page unknown")
+        .when(page < 1, "front matter")
+        .when(F.col("slope") == 2, F.concat(F.lit("pages "), (page - 1).cast("bigint").cast("string"), F.lit("-"), number))
+        .otherwise(F.concat(F.lit("page "), number))
+    )
+    return frames.join(model.select(*keys, "slope", "offset"), keys, "left").select(*frames.columns, label.alias("label"))
+
+
+def cluster_totals(clusters: DataFrame, key: str, frame: str) -> DataFrame:
+    """Per key: frames, clusters in all and, rounded to a tenth, their mean a frame."""
+    per_frame = clusters.groupBy(key, frame).agg(F.max("n").alias("n"))
+    return per_frame.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.sum("n").alias("columns"), F.bround(F.avg("n"), 1).alias("mean"))
+
+
 def half_even_median(values: Column) -> Column:
     """Median that takes one element of an even list: place (n-1)/2 rounded half to even; null for an
     empty list."""

@@ -36,9 +36,17 @@ def suggest(vocab: DataFrame, code: str, prefixes: DataFrame, most: int = 8) ->
     return ranked.where(F.col("place") <= most).select("prefix", "place", "code")
 
 
-def lint(vocab: DataFrame, code: str, kind: str) -> DataFrame:
-    """(kind, problem, detail): duplicate codes, a variant under two codes, a variant that is
-    another entry's label, and a validity that ends before it begins."""
+def out_of_order(vocab: DataFrame, code: str, order: str, place: str) -> DataFrame:
+    """Entries whose ``order`` is not greater than that of the entry before, by ``place`` in the list.
+    A vocabulary is a small reference table, sorted in one task."""
+    before = F.lag(order).over(Window.orderBy(place))
+    return vocab.withColumn("_before", before).where(F.col(order) <= F.col("_before")).select(F.lit("order_not_increasing").alias("problem"), F.col(code).alias("detail"))
+
+
+def lint(vocab: DataFrame, code: str, kind: str, order: tuple[str, str] | None = None) -> DataFrame:
+    """(kind, problem, detail): duplicate codes and labels, a variant under two codes, a variant that is
+    another entry's label, a validity that ends before it begins and, if ``order`` names the column
+    and the place in the list, an order that does not strictly increase."""
     names = alias_table(vocab, code)
     variants, labels = names.where("priority = 1"), vocab.select(F.col("label_ja").alias("alias"), F.col(code).alias("owner"))
     parts = [
@@ -46,7 +54,10 @@ def lint(vocab: DataFrame, code: str, kind: str) -> DataFrame:
         variants.groupBy("alias").agg(F.count_distinct("code").alias("n")).where("n > 1").select(F.lit("variant_of_two").alias("problem"), F.col("alias").alias("detail")),
         variants.join(labels, "alias").select(F.lit("variant_is_label").alias("problem"), F.col("alias").alias("detail")),
         vocab.where("valid_to < valid_from").select(F.lit("ends_before_begin").alias("problem"), F.col(code).alias("detail")),
+        vocab.groupBy("label_ja").count().where("count > 1").select(F.lit("duplicate_label").alias("problem"), F.col("label_ja").alias("detail")),
     ]
+    if order is not None:
+        parts.append(out_of_order(vocab, code, *order))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -89,6 +100,13 @@ def out_of_bounds(df: DataFrame, date: str, day: str, earliest: str = "1868-01-0
     return df.where(early | late).select("cell_id", "page_id", F.lit("date_out_of_bounds").alias("code"), F.col(date).alias("detail"))
 
 
+def engine_disagreement(readings: DataFrame, value: str) -> DataFrame:
+    """Cells whose machine readings disagree with what a person read: rows of agreement status (cell_id,
+    page_id, status) as flags."""
+    rows = readings.where(F.col(value) == "disagree").select("cell_id", "page_id").distinct()
+    return rows.select("cell_id", "page_id", F.lit("engine_disagreement").alias("code"), F.lit("machine readings disagree").alias("detail"))
+
+
 def audit_status(code: Column) -> Column:
     """Status a flag gives its cell; vocabulary flags are queued but leave it alone."""
     return F.when(code.isin(*STRUCTURAL), code)

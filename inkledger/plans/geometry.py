@@ -71,8 +71,9 @@ def box_binning(spark, sf):
 
 def panel_boxes(spark, sf):
     boxes = _boxes(spark, sf).select("vec_id", F.col("panel").alias("page"), "x", "y")
-    panels = spark.createDataFrame([(p, s, -0.2 + 0.2 * s, 0.2 * s, -0.15, 0.15) for p in range(10) for s in (0, 1)], "page int, side int, x0 double, x1 double, y0 double, y1 double")
-    return G.boxes_in_panels(boxes, F.broadcast(panels)).groupBy("page", "side").agg(F.count(F.lit(1)).alias("boxes"))
+    panels = boxes.select("page").distinct().select("page", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    panels = panels.select("page", "side", (-0.2 + 0.2 * F.col("side")).alias("x0"), (0.2 * F.col("side")).alias("x1"), F.lit(-0.15).alias("y0"), F.lit(0.15).alias("y1"))
+    return G.boxes_in_panels(boxes, panels).groupBy("page", "side").agg(F.count(F.lit(1)).alias("boxes"))
 
 
 def reading_order(spark, sf):
@@ -111,8 +112,8 @@ SQL = {
  least(p_size * 40 - 400 + p_size * 7, 1200) AS r, least(p_partkey % 900 - 100 + 120, 800) AS b FROM part) x""",
     "point_map": """SELECT p_partkey, round((400 + (p_size * 10.0 - 400) * cos(radians(-1.2)) - (p_retailprice - 500) * sin(radians(-1.2))) / 0.6, 4) AS x, round((500 + (p_size * 10.0 - 400) * sin(radians(-1.2)) + (p_retailprice - 500) * cos(radians(-1.2))) / 0.6, 4) AS y FROM part""",
     "box_binning": f"SELECT b.panel, a.vec_id AS anchor, count(*) AS boxes, CAST(sum(CAST(round(b.y * 10000) AS BIGINT)) AS BIGINT) AS sum_y FROM ({_BOX}) b JOIN ({_BOX}) a ON a.panel = b.panel AND a.vec_id % 25 = 0 AND abs(b.x - a.x) <= 0.025 GROUP BY ALL",
-    "panel_boxes": f"SELECT panel AS page, side, count(*) AS boxes FROM ({_BOX}) b, (VALUES (0), (1)) s(side) WHERE panel < 10 AND x >= -0.2 + 0.2 * side AND x < 0.2 * side AND y BETWEEN -0.15 AND 0.15 GROUP BY ALL",
-    "reading_order": f"SELECT vec_id, panel, CAST(row_number() OVER (PARTITION BY panel ORDER BY x DESC, vec_id) - 1 AS INTEGER) AS place FROM ({_BOX}) b WHERE vec_id % 5 = 0",
+    "panel_boxes": f"SELECT panel AS page, side, count(*) AS boxes FROM ({_BOX}) b, (VALUES (0), (1)) s(side) WHERE x >= -0.2 + 0.2 * side AND x < 0.2 * side AND y BETWEEN -0.15 AND 0.15 GROUP BY ALL",
+    "reading_order": f"SELECT vec_id, panel, CAST(row_number() OVER (PARTITION BY panel ORDER BY x DESC, vec_id) - 1 AS INTEGER) AS place FROM ({_BOX}) b",
 }
 
 for _query in (page_payload, seniority_columns,):

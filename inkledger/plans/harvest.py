@@ -69,7 +69,8 @@ def contents_frames(spark, sf):
 
 def block_split(spark, sf):
     rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    return H.text_blocks(rows, "doc_id", "text", "\\n\\n").groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.max(F.length("block")).alias("longest"))
+    blocks = H.text_blocks(rows, "doc_id", "text", "([0-9]+)\\r?$")
+    return blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("block")).alias("chars"), F.sum("page_no").alias("numbers"))
 
 
 def line_chunks(spark, sf):
@@ -104,7 +105,9 @@ SQL = {
     "issue_walk": """WITH l AS (SELECT event_id AS pid, strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_id % 7 <> 0), s AS (SELECT d AS month, min(pid) AS pid FROM l GROUP BY d), w AS (SELECT month, l.pid, l.d FROM s JOIN l ON l.pid BETWEEN s.pid AND s.pid + 39),
  t AS (SELECT month, min(pid) FILTER (d > month) AS stop FROM w GROUP BY month) SELECT w.month, w.pid FROM w JOIN t USING (month) WHERE (stop IS NULL OR pid < stop) AND d = month""",
     "contents_frames": "SELECT DISTINCT obs_id, rank_code AS section, CASE WHEN obs_id % 2 = 0 THEN CAST(seniority_no AS INTEGER) END AS page, CAST(obs_id % 9000 AS INTEGER) AS frame FROM observation WHERE obs_id % 11 <> 0 AND rank_code IS NOT NULL AND (obs_id % 2 <> 0 OR seniority_no IS NOT NULL)",
-    "block_split": "SELECT doc_id, count(*) AS blocks, CAST(max(length(b)) AS INTEGER) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS b FROM documents WHERE text IS NOT NULL) x WHERE trim(b, ' ') <> '' GROUP BY doc_id",
+    "block_split": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS m FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT *, regexp_matches(line, '^[0-9]+\r?$') AS head FROM l), f AS (SELECT *, min(k) FILTER (head) OVER (PARTITION BY doc_id) AS first FROM h)
+ SELECT doc_id, count(*) FILTER (head) AS blocks, CAST(sum(CASE WHEN head THEN 0 ELSE length(line) END + CASE WHEN k < m THEN 1 ELSE 0 END) AS BIGINT) AS chars, CAST(sum(try_cast(replace(line, chr(13), '') AS INTEGER)) FILTER (head) AS BIGINT) AS numbers FROM f WHERE k >= first GROUP BY doc_id""",
     "line_chunks": "SELECT volume_id, chunk, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY obs_id)) AS digest FROM (SELECT volume_id, obs_id, line, CAST(floor((row_number() OVER (PARTITION BY volume_id ORDER BY obs_id) - 1) / 15) AS BIGINT) AS chunk FROM (SELECT DISTINCT volume_id, obs_id, coalesce(post, '-') AS line FROM observation_in) d) s GROUP BY ALL",
     "section_survey": """SELECT strftime(fetched_at, '%Y-%m') AS month, count(*) AS issues, count(*) FILTER (e) AS extra, count(*) FILTER (s) AS structured, count(*) FILTER (c) AS section, count(*) FILTER (c AND e) AS extra_section
  FROM (SELECT fetched_at, contains(coalesce(text, ''), 'WEBVTT') OR contains(coalesce(text, ''), 'webvtt') AS e, contains(coalesce(text, ''), '-->') AS s, regexp_matches(coalesce(text, ''), '[0-9]{2}:[0-9]{2}:[0-9]{2}') AS c FROM documents WHERE fetched_at IS NOT NULL) x GROUP BY 1""",

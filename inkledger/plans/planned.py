@@ -18,9 +18,7 @@ def _postings(spark, sf):
 
 
 def unit_overlap(spark, sf):
-    postings = _postings(spark, sf)
-    both = P.overlapping(postings, postings, "unit_id", "since", "until", 365).where("person_id_a < person_id_b")
-    return both.groupBy("unit_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("until_a", "until_b") - F.greatest("since_a", "since_b")).alias("days"))
+    return P.overlap_totals(_postings(spark, sf), "unit_id", "since", "until")
 
 
 def linkage_bands(spark, sf):
@@ -75,16 +73,17 @@ _P = "SELECT unit_id, person_id, min(CAST(as_of_date AS DATE)) - DATE '1970-01-0
 _LAST = "SELECT * FROM (SELECT person_id, as_of_date, rank_code, row_number() OVER (PARTITION BY person_id, as_of_date ORDER BY created_at DESC, obs_id DESC) AS n FROM observation WHERE person_id IS NOT NULL) q WHERE n = 1"
 _SNAP = f"SELECT person_id, as_of_date AS \"at\", seniority_order AS value FROM ({_LAST}) l LEFT JOIN rank_vocab r USING (rank_code)"
 SQL = {
-    "unit_overlap": f"""SELECT a.unit_id, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS days FROM ({_P}) a JOIN ({_P}) b ON a.unit_id = b.unit_id AND CAST(right(a.person_id, 1) AS INTEGER) % 2 = 0
- AND CAST(right(b.person_id, 1) AS INTEGER) % 2 = 1 AND a.s <= b.e AND b.s <= a.e GROUP BY a.unit_id""",
+    "unit_overlap": f"""SELECT a.unit_id, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS days FROM ({_P}) a JOIN ({_P}) b ON a.unit_id = b.unit_id AND a.person_id < b.person_id AND a.s <= b.e AND b.s <= a.e GROUP BY a.unit_id""",
     "linkage_bands": """SELECT c_nationkey, CASE WHEN s >= 5 THEN 'link' WHEN s >= 1 THEN 'review' ELSE 'no_link' END AS band, count(*) AS n FROM (SELECT c_nationkey, CASE WHEN floor(c_acctbal / 1000) = floor(s_acctbal / 1000) THEN 4.0 ELSE -1.0 END + CASE WHEN c_custkey % 97 = s_suppkey % 97 THEN 2.0 ELSE -0.5 END AS s
  FROM customer JOIN supplier ON c_nationkey = s_nationkey AND (floor(c_acctbal / 1000) = floor(s_acctbal / 1000) OR c_custkey % 97 = s_suppkey % 97)) x GROUP BY ALL""",
     "event_reconcile": f"""SELECT e.person_id, e."at", since, until, before, after FROM (SELECT DISTINCT person_id, CAST(CAST(CAST(commissioning_date AS DATE) + INTERVAL 120 MONTH AS DATE) AS VARCHAR) AS "at" FROM observation WHERE person_id IS NOT NULL AND commissioning_date IS NOT NULL) e
  JOIN (SELECT person_id, "at" AS since, lead("at") OVER w AS until, value AS before, lead(value) OVER w AS after FROM ({_SNAP}) s WINDOW w AS (PARTITION BY person_id ORDER BY "at")) p ON e.person_id = p.person_id AND until IS NOT NULL AND e."at" > since AND e."at" <= until""",
     "rank_regressions": f"SELECT * FROM (SELECT person_id, \"at\", value, lag(value) OVER (PARTITION BY person_id ORDER BY \"at\") AS before FROM ({_SNAP}) s) x WHERE value < before",
-    "propagation_diff": f"""SELECT coalesce(a.person_id, b.person_id) AS person_id, a.rank_code AS rank_code_old, b.rank_code AS rank_code_new, CASE WHEN a.person_id IS NULL THEN 'appeared' WHEN b.person_id IS NULL THEN 'disappeared' WHEN a.rank_code IS NOT DISTINCT FROM b.rank_code THEN 'same'
+    "propagation_diff": f"""WITH e AS (SELECT edition_date, lead(edition_date) OVER (ORDER BY edition_date) AS following FROM (SELECT DISTINCT edition_date FROM source_volume WHERE series = 'retsuji' AND edition_date IS NOT NULL) d), l AS ({_LAST}),
+ k AS (SELECT DISTINCT person_id, edition_date AS since, following AS until FROM l JOIN e ON as_of_date IN (edition_date, following) WHERE following IS NOT NULL)
+ SELECT k.person_id, since, until, a.rank_code AS rank_code_old, b.rank_code AS rank_code_new, CASE WHEN a.person_id IS NULL THEN 'appeared' WHEN b.person_id IS NULL THEN 'disappeared' WHEN a.rank_code IS NOT DISTINCT FROM b.rank_code THEN 'same'
  WHEN rb.seniority_order > ra.seniority_order THEN 'promoted' WHEN rb.seniority_order < ra.seniority_order THEN 'demoted' ELSE 'changed' END AS change
- FROM (SELECT * FROM ({_LAST}) x WHERE as_of_date = '1916-10-01') a FULL JOIN (SELECT * FROM ({_LAST}) x WHERE as_of_date = '1917-10-01') b ON a.person_id = b.person_id LEFT JOIN rank_vocab ra ON ra.rank_code = a.rank_code LEFT JOIN rank_vocab rb ON rb.rank_code = b.rank_code""",
+ FROM k LEFT JOIN l a ON a.person_id = k.person_id AND a.as_of_date = since LEFT JOIN l b ON b.person_id = k.person_id AND b.as_of_date = until LEFT JOIN rank_vocab ra ON ra.rank_code = a.rank_code LEFT JOIN rank_vocab rb ON rb.rank_code = b.rank_code""",
     "quality_metrics": """SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS readings, count(DISTINCT author_user_id) AS readers, round(count(*) FILTER (status = 'flagged') / CAST(count(*) AS DOUBLE), 6) AS flag_rate,
  round(count(person_id) / CAST(count(*) AS DOUBLE), 6) AS link_rate, count(DISTINCT page_id) AS pages FROM observation GROUP BY 1""",
 }

@@ -76,13 +76,15 @@ def snapshot_changes(spark, sf):
     return R.changed_snapshots(rows, "person_id", ["as_of_date", "created_at", "obs_id"], ["rank_code", "post"]).select("obs_id", "person_id", "rank_code", "post")
 
 
-def _edition(spark, sf, day):
-    rows = table(spark, sf, "observation").where((F.col("as_of_date") == day) & F.col("person_id").isNotNull())
+def _catalogue(spark, sf, trusted: bool):
+    """The latest reading of every person that has been confirmed, or that has not."""
+    sure = F.col("status").isin("confirmed", "adjudicated")
+    rows = table(spark, sf, "observation").where(F.col("person_id").isNotNull() & (sure if trusted else ~sure))
     return R.last_by(rows.select("person_id", "rank_code", "branch_code", "created_at", "obs_id"), ["person_id"], ["created_at", "obs_id"])
 
 
 def catalogue_union(spark, sf):
-    return R.union_catalogues(_edition(spark, sf, "1911-10-01"), _edition(spark, sf, "1912-10-01"), "person_id", ("older", "newer"), ["rank_code", "branch_code"])
+    return R.union_catalogues(_catalogue(spark, sf, True), _catalogue(spark, sf, False), "person_id", ("older", "newer"), ["rank_code", "branch_code"])
 
 
 def catalogue_tallies(spark, sf):
@@ -113,9 +115,11 @@ def constraint_violations(spark, sf):
             ("rank_closed", unknown, "rank_code", F.lit(True)),
             ("volume_known", orphan, "volume_id", F.lit(True)),
             ("as_of_present", obs, "obs_id", F.col("as_of_date").isNull()),
-            ("status_enumerated", obs, "status", ~F.col("status").isin("draft", "confirmed", "flagged")),
+            ("status_enumerated", obs, "status", ~F.col("status").isin("draft", "confirmed", "flagged", "adjudicated")),
             ("own_or_propagated", obs, "obs_id", F.col("propagated_from") == F.col("obs_id")),
-            ("one_link", obs, "obs_id", F.col("person_id").isNull() & F.col("propagated_from").isNotNull()),
+            ("exactly_one", obs, "obs_id", R.not_exactly_one("person_id", "propagated_from")),
+            ("interval_order", t("branch_vocab").unionByName(t("rank_vocab").withColumnRenamed("rank_code", "branch_code"), allowMissingColumns=True), "branch_code", R.ends_before("valid_from", "valid_to")),
+            ("interval_order", obs, "obs_id", R.ends_before("commissioning_date", "as_of_date")),
         ]
     )
 
@@ -146,10 +150,10 @@ QUERIES = {
 
 _PARTS = "SELECT *, split_part(cell_id, ':', 1) AS volume_id, CAST(split_part(cell_id, ':', 2) AS INTEGER) AS frame_no, CAST(split_part(cell_id, ':', 3) AS INTEGER) AS row_index FROM observation"
 _PROGRESS = f"SELECT volume_id, frame_no, count(*) AS observations, count(DISTINCT row_index) AS rows_read, max(created_at) AS last_at FROM ({_PARTS}) p GROUP BY ALL"
-_EDITION = "SELECT * FROM (SELECT person_id, rank_code, branch_code, row_number() OVER (PARTITION BY person_id ORDER BY created_at DESC, obs_id DESC) AS n FROM observation WHERE as_of_date = '{0}' AND person_id IS NOT NULL) e WHERE n = 1"
+_EDITION = "SELECT * FROM (SELECT person_id, rank_code, branch_code, row_number() OVER (PARTITION BY person_id ORDER BY created_at DESC, obs_id DESC) AS n FROM observation WHERE status {0} ('confirmed', 'adjudicated') AND person_id IS NOT NULL) e WHERE n = 1"
 _UNION = f"""SELECT coalesce(a.person_id, b.person_id) AS person_id, coalesce(a.rank_code, b.rank_code) AS rank_code, coalesce(a.branch_code, b.branch_code) AS branch_code,
  concat_ws('+', CASE WHEN a.person_id IS NOT NULL THEN 'older' END, CASE WHEN b.person_id IS NOT NULL THEN 'newer' END) AS source
- FROM ({_EDITION.format("1911-10-01")}) a FULL JOIN ({_EDITION.format("1912-10-01")}) b ON a.person_id = b.person_id"""
+ FROM ({_EDITION.format("IN")}) a FULL JOIN ({_EDITION.format("NOT IN")}) b ON a.person_id = b.person_id"""
 _SIDE = "SELECT * FROM (SELECT cell_id, obs_id, name_raw, post, status, row_number() OVER (PARTITION BY cell_id ORDER BY created_at DESC, obs_id DESC) AS n FROM observation WHERE cell_id IS NOT NULL AND created_at {0} TIMESTAMP '2024-10-01') s WHERE n = 1"
 
 SQL = {
@@ -180,9 +184,11 @@ SQL = {
     "constraint_violations": """SELECT 'rank_closed' AS constraint_name, rank_code AS key, count(*) AS n FROM observation WHERE rank_code NOT IN (SELECT rank_code FROM rank_vocab) GROUP BY rank_code
  UNION ALL SELECT 'volume_known', split_part(cell_id, ':', 1), count(*) FROM observation WHERE split_part(cell_id, ':', 1) NOT IN (SELECT volume_id FROM source_volume) GROUP BY 2
  UNION ALL SELECT 'as_of_present', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE as_of_date IS NULL GROUP BY obs_id
- UNION ALL SELECT 'status_enumerated', status, count(*) FROM observation WHERE status NOT IN ('draft', 'confirmed', 'flagged') GROUP BY status
+ UNION ALL SELECT 'status_enumerated', status, count(*) FROM observation WHERE status NOT IN ('draft', 'confirmed', 'flagged', 'adjudicated') GROUP BY status
  UNION ALL SELECT 'own_or_propagated', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE propagated_from = obs_id GROUP BY obs_id
- UNION ALL SELECT 'one_link', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE person_id IS NULL AND propagated_from IS NOT NULL GROUP BY obs_id""",
+ UNION ALL SELECT 'exactly_one', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE (person_id IS NULL) = (propagated_from IS NULL) GROUP BY obs_id
+ UNION ALL SELECT 'interval_order', code, count(*) FROM (SELECT branch_code AS code, valid_from, valid_to FROM branch_vocab UNION ALL SELECT rank_code, valid_from, valid_to FROM rank_vocab) v WHERE valid_to < valid_from GROUP BY code
+ UNION ALL SELECT 'interval_order', CAST(obs_id AS VARCHAR), count(*) FROM observation WHERE as_of_date < commissioning_date GROUP BY obs_id""",
 }
 
 for _query in (swap_suggestions, service_check,):

@@ -66,7 +66,7 @@ def _names(spark, sf):
 
 def lexicon_suggest(spark, sf):
     lexicon, readings = _names(spark, sf)
-    return M.suggestions(M.lexicon_matches(readings, lexicon, lambda a, b: T.similarity(a, b)), readings)
+    return M.suggestions(M.lexicon_matches(readings, lexicon, T.folded_similarity(ACCENTS)), readings)
 
 
 def lexicon_suggest_lev(spark, sf):
@@ -155,13 +155,12 @@ SQL = {
     "seniority_numbers": """SELECT DISTINCT obs_id, text, CASE WHEN regexp_matches(translate(text, '０１２３４５６７８９', '0123456789'), '^[0-9]+$') THEN CAST(translate(text, '０１２３４５６７８９', '0123456789') AS BIGINT) END AS value,
  CASE WHEN NOT regexp_matches(translate(text, '０１２３４５６７８９', '0123456789'), '^[0-9]+$') THEN 'not a plain number' END AS reason FROM (SELECT obs_id, CASE WHEN seniority_no % 5 = 0 THEN translate(CAST(seniority_no AS VARCHAR), '0123456789', '０１２３４５６７８９')
  WHEN seniority_no % 7 = 0 THEN seniority_no || '?' ELSE CAST(seniority_no AS VARCHAR) END AS text FROM observation_in) x WHERE text IS NOT NULL""",
-    "geta_marks": "SELECT label_id, CAST(length(coalesce(name_raw, '')) - length(replace(coalesce(name_raw, ''), '〓', '')) AS INTEGER) AS geta, replace(coalesce(name_raw, ''), '〓', '') AS stripped FROM (SELECT DISTINCT label_id, name_raw FROM cell_label) x",
+    "geta_marks": "SELECT label_id, CAST(length(coalesce(name_raw, '')) - length(replace(coalesce(name_raw, ''), '〓', '')) AS INTEGER) AS geta, regexp_replace(replace(replace(regexp_replace(coalesce(name_raw, ''), '(?s)\\(.*?\\)|\\[.*?\\]', '', 'g'), '〔?〕', ''), '〓', ''), '[^\\x{3000}-\\x{9FFF}0-9A-Za-z]', '', 'g') AS stripped FROM (SELECT DISTINCT label_id, name_raw FROM cell_label) x",
     "lexicon_suggest_lev": """WITH l AS (SELECT p_name AS entry, min(p_partkey) AS ordinal FROM part GROUP BY p_name), r AS (SELECT DISTINCT substr(entry, 1, 3) || substr(entry, 5, 50) AS reading FROM l),
- m AS (SELECT reading, entry, ordinal, 1 - levenshtein(reading, entry) / CAST(greatest(length(reading), length(entry)) AS DOUBLE) AS score FROM r, l
-  WHERE len(list_intersect(list_transform(range(1, length(reading)), lambda i: substr(reading, i, 2)), list_transform(range(1, length(entry)), lambda i: substr(entry, i, 2)))) > 0),
+ m AS (SELECT reading, entry, ordinal, 1 - levenshtein(reading, entry) / CAST(greatest(length(reading), length(entry)) AS DOUBLE) AS score FROM r, l),
  k AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY score DESC, ordinal) AS place FROM m),
  t AS (SELECT reading, max(entry) FILTER (place = 1) AS best, max(score) FILTER (place = 1) AS b, max(score) FILTER (place = 2) AS u FROM k GROUP BY reading)
- SELECT reading, best, round(b, 4) AS best_score, round(b - coalesce(u, 0), 4) AS margin, CASE WHEN b IS NULL THEN 'NO_MATCH' WHEN b >= 0.9 AND b - coalesce(u, 0) >= 0.15 THEN 'PROBABLE' WHEN b >= 0.6 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status FROM r LEFT JOIN t USING (reading)""",
+ SELECT reading, best, round(b, 4) AS best_score, round(b - coalesce(u, 0), 4) AS margin, CASE WHEN b >= 0.9 AND b - coalesce(u, 0) >= 0.15 THEN 'PROBABLE' WHEN b >= 0.6 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status FROM r LEFT JOIN t USING (reading)""",
     "agreement_status": _AGREE,
     "worst_agreement": f"SELECT cell_id, arg_max(status, CASE status WHEN 'disagree' THEN 3 WHEN 'variant_equal' THEN 2 WHEN 'agree' THEN 1 ELSE 0 END) AS worst FROM ({_AGREE}) a GROUP BY cell_id",
     "length_buckets": """SELECT CASE WHEN s >= 0.9 THEN '>=0.90' WHEN s >= 0.8 THEN '0.80-0.90' WHEN s >= 0.7 THEN '0.70-0.80' WHEN s >= 0.5 THEN '0.50-0.70' ELSE '<0.50' END AS bucket, count(*) AS n, round(avg(n_chars), 6) AS mean
@@ -175,3 +174,4 @@ for _query in (machine_readings, text_line_filter,):
 SQL |= {
     "text_line_filter": """SELECT doc_id, count(*) AS lines, count(*) FILTER (length(line) >= 6) AS counted FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) x WHERE NOT regexp_matches(line, '-->|^[0-9]+\\r?$|^\\r?$') GROUP BY doc_id""",
 }
+SQL["machine_readings"] = f"SELECT reading, 'lexicon' AS engine, reading AS value, coalesce(best_score, 0.0) AS confidence FROM ({SQL['lexicon_suggest_lev']}) s"

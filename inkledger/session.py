@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,14 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, laptops) is a temporary folder
-    of this machine used.  ``localCheckpoint`` is never used: its blocks die with their
+    Only where ``spark.checkpoint.dir`` is unset on a local master (tests, laptops) is a
+    temporary folder of this machine used; on a cluster that is an error, for executors
+    could not see it.  ``localCheckpoint`` is never used: its blocks die with their
     executor.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or _own_folder())
+        folder = context.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or _own_folder())
     return df.checkpoint(eager=True)
 
 
