@@ -80,6 +80,8 @@ EPOCH = _pattern(r"\d{9,10}|\d{12,13}|\d{15,16}")
 
 def tidy(text: str) -> str:
     """Compatibility forms resolved, invisible characters dropped, spaces single and trimmed."""
+    if text.isascii() and text.isprintable():
+        return " ".join(text.split())
     spaced = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text))
     return INVISIBLE.sub(lambda m: " " if m[0] == " " else "", spaced).strip()
 
@@ -225,29 +227,33 @@ def parse_instant(text: str, default_zone: str | None) -> str | None:
     return utc.strftime("%Y-%m-%dT%H:%M:%SZ") if utc else None
 
 
+#: Values remembered by each worker: dates repeat from batch to batch.
+_REMEMBERED = 200_000
+
+
+@functools.lru_cache(_REMEMBERED)
+def _day_of(text: str, context_era: str | None) -> str | None:
+    return parse_day(text, context_era)
+
+
+@functools.lru_cache(_REMEMBERED)
+def _instant_of(text: str, default_zone: str | None) -> str | None:
+    return parse_instant(text, default_zone)
+
+
 def _pairwise(function, first: pd.Series, second: pd.Series) -> pd.Series:
-    """``function`` applied once to each distinct pair whose first value is not null."""
-    done: dict = {}
-    out = []
-    for a, b in zip(first, second):
-        if not isinstance(a, str):
-            out.append(None)
-            continue
-        key = (a, b if isinstance(b, str) else None)
-        if key not in done:
-            done[key] = function(*key)
-        out.append(done[key])
-    return pd.Series(out, dtype=object)
+    """``function`` of each pair whose first value is not null."""
+    return pd.Series([function(a, b if isinstance(b, str) else None) if isinstance(a, str) else None for a, b in zip(first, second)], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def _days(texts: pd.Series, eras: pd.Series) -> pd.Series:
-    return _pairwise(parse_day, texts, eras)
+    return _pairwise(_day_of, texts, eras)
 
 
 @F.pandas_udf(StringType())
 def _instants(texts: pd.Series, zones: pd.Series) -> pd.Series:
-    return _pairwise(parse_instant, texts, zones)
+    return _pairwise(_instant_of, texts, zones)
 
 
 def any_day(text: Column, context_era: Column | None = None) -> Column:

@@ -136,6 +136,43 @@ def build_history(rows: DataFrame, calendar: DataFrame, fanout: int = FANOUT) ->
     return dated.select("person_id", "valid_from", F.coalesce("valid_to", F.lit(OPEN_END)).alias("valid_to"), "new.rank_code", "new.post", "new.seniority_no")
 
 
+def leaf_of(depth: int, fanout: int = FANOUT) -> Column:
+    return F.pmod(F.xxhash64("person_id"), F.lit(fanout**depth)).cast("long")
+
+
+def edition_tree(rows: DataFrame, depth: int) -> DataFrame:
+    """``(node, hash)`` of the leaves of one edition's rows (person_id and the attributes): what is
+    stored beside the history, so that the next edition need not read this one again."""
+    hashed = rows.withColumn("row_hash", _row_hash("person_id", "rank_code", "post", "seniority_no")).withColumn("leaf", leaf_of(depth)).withColumn("edition", F.lit(0))
+    return leaf_level(hashed).select("node", "hash")
+
+
+def append_edition(history: DataFrame, tree: DataFrame, rows: DataFrame, day: str, depth: int, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """History and tree once another edition has come: ``(history, tree)``.
+
+    ``history`` has the versions so far, open ones ending at ``9999-12-31``; ``tree`` is the stored tree
+    of the edition before; ``rows`` are the new edition's, one for each person, printed on ``day``,
+    which is later than all before.  Trees are compared from the root down.  Only open versions in
+    leaves that differ are read against the new rows: those that changed or went are closed on
+    ``day``, those that changed or came are opened; every other version is passed on as it is.
+    """
+    fresh = cut_lineage(edition_tree(rows, depth))
+    levels = fresh.select("node", F.lit(1).alias("edition"), "hash").unionByName(tree.select("node", F.lit(0).alias("edition"), "hash"))
+    changed = changed_leaves(levels, depth, 1, fanout).where("edition = 1").select("leaf")
+    placed = history.withColumn("leaf", leaf_of(depth, fanout)).join(changed.withColumn("_changed", F.lit(True)), "leaf", "left")
+    touched = (F.col("valid_to") == OPEN_END) & F.col("_changed")
+    state = F.struct("rank_code", "post", "seniority_no")
+    old = placed.where(touched).select("person_id", "valid_from", state.alias("old"))
+    new = rows.withColumn("leaf", leaf_of(depth, fanout)).join(changed, "leaf", "left_semi").select("person_id", state.alias("new"))
+    both = old.join(new, "person_id", "full")
+    same = F.col("old").eqNullSafe(F.col("new"))
+    keep = F.when(F.col("old").isNotNull(), F.struct("valid_from", F.when(same, OPEN_END).otherwise(day).alias("valid_to"), F.col("old").alias("s")))
+    begin = F.when(~same & F.col("new").isNotNull(), F.struct(F.lit(day).alias("valid_from"), F.lit(OPEN_END).alias("valid_to"), F.col("new").alias("s")))
+    versions = both.select("person_id", F.explode(F.array_compact(F.array(keep, begin))).alias("v")).select("person_id", "v.valid_from", "v.valid_to", "v.s.rank_code", "v.s.post", "v.s.seniority_no")
+    passed = placed.where(~F.coalesce(touched, F.lit(False))).select(*versions.columns)
+    return passed.unionByName(versions), fresh
+
+
 def attribute_history(observation: DataFrame, volumes: DataFrame, kanji_variant: DataFrame, series: str = "retsuji") -> DataFrame:
     """History of rank, post and seniority of every linked person over the editions of a series.
 

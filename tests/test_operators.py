@@ -321,3 +321,23 @@ def test_checkpoints_need_a_shared_folder():
     frame = type("D", (), {"sparkSession": type("X", (), {"sparkContext": Away})})
     with pytest.raises(RuntimeError):
         session.cut_lineage(frame)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 7), st.tuples(st.sampled_from("xy"), st.sampled_from(["p", None]), st.integers(0, 1)), max_size=8), min_size=2, max_size=4))
+def test_appending_editions_gives_the_whole_history(spark, editions):
+    """A history built edition by edition from stored trees equals the one built at once."""
+    from inkledger.operators import history as H
+
+    fields = "person_id string, rank_code string, post string, seniority_no int"
+    frames = [spark.createDataFrame([(f"p{k}", *v) for k, v in rows.items()], fields) for rows in editions]
+    days = [f"19{10 + i}-01-01" for i in range(len(editions))]
+    calendar = spark.createDataFrame(list(zip(days, range(len(days)))), "as_of_date string, edition int")
+    whole = [(f"p{k}", i, *v) for i, rows in enumerate(editions) for k, v in rows.items()]
+    want = H.build_history(spark.createDataFrame(whole, "person_id string, edition int, rank_code string, post string, seniority_no int"), calendar)
+    empty = spark.createDataFrame([], "person_id string, valid_from string, valid_to string, rank_code string, post string, seniority_no int")
+    built, tree = empty, H.edition_tree(spark.createDataFrame([], fields), 1)
+    for frame, day in zip(frames, days):
+        built, tree = H.append_edition(built, tree, frame, day, 1)
+        built = H.cut_lineage(built)
+    assert sorted(map(tuple, built.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
