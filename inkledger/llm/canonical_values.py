@@ -7,9 +7,10 @@ What finds nothing may be an abbreviation: its words must be shortened forms of
 words in order, and the entry that needs the fewest words left out wins if it is the only one.
 Everything else is reported as ``unmatched``.
 
-Up to ``small`` entries travel with the tasks and rows are mapped without a shuffle; with a longer
-list ``map_free_values`` fails.  ``nearest_in_shards`` searches lists of any length, but has neither
-the normal forms nor the abbreviations and is not used by it.  Null and blank values give no row; ties between entries are unmatched.
+Up to ``small`` entries travel with the tasks and rows are mapped without a shuffle.  A longer list
+is cut into shards by entry: every block of distinct values meets every shard, each with a tree of
+its own, and what the shards find is merged by the same decision, so the result does not depend on
+the cut.  Null and blank values give no row; ties between entries are unmatched.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.functions.text import closed_variants, repair, visible
-from inkledger.session import small_rows
+from inkledger.functions.text import closed_variants, consistent_form, repair, visible
+from inkledger.session import cut_lineage, small_rows
 
 UNMATCHED = "unmatched"
 #: Numerals that mean the same.
@@ -214,6 +215,18 @@ class Matcher:
             self.known[form] = self._decide(form)
         return self.known[form]
 
+    def evidence(self, raw: str) -> list[tuple[int, int, str]]:
+        """(stage, distance, code) of all that speaks for an entry of this list: its spelling (three
+        readings of the value, in order), the nearest ones, the shortest abbreviations."""
+        form = self.normal(raw)
+        bare = self.normal.bare(form)
+        texts = (form, bare, bare.removesuffix("科"))
+        out = [(stage, 0, code) for stage, text in enumerate(texts) for code in self.spellings.get(text, ())]
+        if not out and "〓" not in bare and bare:
+            for stage, found in ((3, self.near(bare)), (4, self.short(bare))):
+                out += [(stage, d, code) for code, d in found.items() if d == min(found.values())]
+        return out
+
     def _decide(self, form: str) -> tuple[str, int | None, str]:
         bare = self.normal.bare(form)
         for text, how in ((form, "spelling"), (bare, "spelling"), (bare.removesuffix("科"), "spelling")):
@@ -252,13 +265,45 @@ def map_values(df: DataFrame, column: str, entries: list[tuple], variants: dict[
     return df.select(*keep, F.col(column).alias("raw")).where("raw IS NOT NULL").mapInPandas(run, schema)
 
 
+def map_sharded(values: DataFrame, vocab: DataFrame, variants: dict[str, str], shard_size: int = 2000, block_size: int = 20_000) -> DataFrame:
+    """``(raw, mapped_code)`` of distinct values against a list of any length: ``vocab`` has code, label_ja,
+    label_en, variants.  Shards and blocks are tasks of bounded size; only what is found is shuffled."""
+    values = values.select("raw").where("raw IS NOT NULL").distinct()
+    entries = vocab.select("code", "label_ja", "label_en", "variants").where("code IS NOT NULL").distinct()
+    shards, blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((entries, shard_size), (values, block_size)))
+    left = values.select("raw", F.pmod(F.xxhash64("raw"), F.lit(blocks)).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
+    right = entries.select("code", "label_ja", "label_en", "variants", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"))
+
+    def search(block: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        listed = [tuple(x if isinstance(x, str) else None for x in row) for row in shard[["code", "label_ja", "label_en", "variants"]].itertuples(index=False)]
+        normal = Normal(variants)
+        matcher = Matcher(aliases(listed, normal), normal, [e[2] for e in listed])
+        rows = [(raw, *found) for raw in block["raw"] if visible(raw) for found in matcher.evidence(raw)]
+        return pd.DataFrame(rows, columns=["raw", "stage", "distance", "code"])
+
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(search, "raw string, stage int, distance int, code string")
+    found = cut_lineage(found)
+    least = found.groupBy("raw", "stage").agg(F.min("distance").alias("distance"))
+    best = found.join(least, ["raw", "stage", "distance"]).groupBy("raw", "stage").agg(F.min("code").alias("code"), F.count_distinct("code").alias("n"))
+    spelt, at = F.min(F.when(F.col("stage") < 3, F.struct("stage", "code", "n"))), lambda stage: F.max(F.when(F.col("stage") == stage, F.struct("code", "n")))
+    merged = best.groupBy("raw").agg(spelt.alias("s"), at(3).alias("near"), at(4).alias("short"))
+    only = lambda c: F.when(F.col(f"{c}.n") == 1, F.col(f"{c}.code"))
+    code = F.when(F.col("s").isNotNull(), only("s")).otherwise(F.coalesce(only("near"), only("short")))
+    mapped = values.join(merged, "raw", "left").select("raw", F.coalesce(code, F.lit(UNMATCHED)).alias("mapped_code"))
+    return mapped.where(consistent_form("raw", {}) != "")
+
+
 def map_free_values(observation_in: DataFrame, rank_vocab: DataFrame, branch_vocab: DataFrame, kanji_variant: DataFrame, small: int = 5000) -> DataFrame:
     """``(obs_id, field_name, mapped_code)`` of the ranks and branches of all readings."""
     variants = closed_variants(sorted((r[0] or "", r[1] or "") for r in small_rows(kanji_variant.select("variant_char", "canonical_char").distinct(), 20_000)))
     out = None
     for field, vocab in (("rank_code", rank_vocab), ("branch_code", branch_vocab)):
-        entries = [tuple(r) for r in small_rows(vocab.select(field, "label_ja", "label_en", "variants"), small)]
-        rows = map_values(observation_in, field, entries, variants, ["obs_id"])
+        listed = vocab.select(F.col(field).alias("code"), "label_ja", "label_en", "variants")
+        if listed.count() > small:
+            rows = observation_in.select("obs_id", F.col(field).alias("raw")).where("raw IS NOT NULL")
+            rows = rows.join(map_sharded(rows, listed, variants), "raw")
+        else:
+            rows = map_values(observation_in, field, [tuple(r) for r in small_rows(listed, small)], variants, ["obs_id"])
         part = rows.select("obs_id", F.lit(field).alias("field_name"), "mapped_code")
         out = part if out is None else out.unionByName(part)
     return out.distinct()

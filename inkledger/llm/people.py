@@ -150,15 +150,18 @@ def date_facts(text: str, context_era: str | None) -> tuple[str | None, int | No
     )
 
 
+@functools.lru_cache(200_000)
+def _facts_of(text: str, context_era: str | None) -> tuple[str | None, int | None, str | None, str | None]:
+    return date_facts(text, context_era)
+
+
 def dates_of(text: Column, context_era: Column | None = None) -> Column:
     """``struct<day string, year int, month string, within string>`` of a date column."""
 
     @F.pandas_udf("day string, year int, month string, within string")
     def run(texts: pd.Series, eras: pd.Series) -> pd.DataFrame:
-        read = functools.lru_cache(None)(date_facts)
-        rows = [read(t, e if isinstance(e, str) else None) if isinstance(t, str) else (None,) * 4 for t, e in zip(texts, eras)]
-        out = pd.DataFrame(rows, columns=["day", "year", "month", "within"])
-        return out.astype({"year": "Int32"})
+        rows = [_facts_of(t, e if isinstance(e, str) else None) if isinstance(t, str) else (None,) * 4 for t, e in zip(texts, eras)]
+        return pd.DataFrame(rows, columns=["day", "year", "month", "within"]).astype({"year": "Int32"})
 
     return run(text, F.lit(None).cast("string") if context_era is None else context_era)
 
@@ -198,14 +201,21 @@ def romanised(column: str) -> Column:
     return run(F.col(column))
 
 
+@functools.lru_cache(4)
+def _matcher(entries: tuple, variants: tuple) -> Matcher:
+    """One matcher for each worker and list, with what it has decided."""
+    normal = Normal(dict(variants))
+    return Matcher(aliases(list(entries), normal), normal)
+
+
 def branch_of(column: str, entries: list[tuple], variants: dict[str, str]) -> Column:
     """Branch code that a typed value means, else null."""
+    listed, pairs = tuple(entries), tuple(sorted(variants.items()))
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        normal = Normal(variants)
-        matcher = Matcher(aliases(entries, normal), normal)
-        return on_distinct(values, lambda x: (code := matcher(x)[0]) if x.strip() and matcher(x)[0] != UNMATCHED else None)
+        match = _matcher(listed, pairs)
+        return on_distinct(values, lambda x: (code if (code := match(x)[0]) != UNMATCHED else None) if x.strip() else None)
 
     return run(F.col(column))
 

@@ -143,3 +143,18 @@ def test_alpha_against_pairs(spark):
     every = [v for u in units for v in u]
     expected = sum(a != b for i, a in enumerate(every) for j, b in enumerate(every) if i != j) / (n * (n - 1))
     assert got.n_labels == n and abs(got.alpha - (1 - observed / expected)) < 1e-9
+
+
+def test_long_lists_are_searched_in_shards(spark):
+    """Every value of the smallest tables is mapped alike by one tree and by shards of three entries."""
+    from inkledger.llm.canonical_values import map_sharded
+    from inkledger.functions.text import variant_map
+
+    t = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet")
+    args = [t(n) for n in ("observation_in", "rank_vocab", "branch_vocab", "kanji_variant")]
+    whole = {tuple(r) for r in map_free_values(*args).collect()}
+    assert whole and {tuple(r) for r in map_free_values(*args, small=5).collect()} == whole
+    listed = args[2].selectExpr("branch_code AS code", "label_ja", "label_en", "variants")
+    values = args[0].selectExpr("branch_code AS raw")
+    cut = {tuple(r) for r in map_sharded(values, listed, variant_map(args[3]), shard_size=3, block_size=40).collect()}
+    assert cut == {tuple(r) for r in map_sharded(values, listed, variant_map(args[3])).collect()}
