@@ -26,14 +26,17 @@ def edge_tokens(core: Column, least: int = 2, frame: bool = True) -> Column:
 
 def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> DataFrame:
     """``tokens`` with ``block`` and ``side`` instead of token, ``first`` and ``second``, which are
-    arrays of the values that a row may have in two further fields.  Tokens may come with a side:
-    two rows of side ``r`` do not meet.
+    arrays of the values that a row may have in two further fields.  Tokens may come with a side,
+    ``b`` or ``r``.
 
     Tokens of at most ``most`` rows are blocks as they are.  A more common one is discarded only
     after refining: its rows meet where they agree in the first field or in the second, and where
     such a block is still as large, in both, compared whole.  A row that lacks what refining needs
-    meets all rows of the token (side ``l`` against side ``r``, which do not meet each other), so
-    no row loses a token because a field is null.
+    meets all rows of the token, so no row loses a token because a field is null.
+
+    Sides: rows of side ``b`` meet each other and those of side ``r``, which do not meet each other.
+    Among the rows of a refined token, those that lack what refines it are ``l`` (or ``k``, if they
+    were ``r``) and the others ``s`` (or ``r``): ``l`` meets all, ``k`` only ``l`` and ``s``.
     """
 
     def sized(rows: DataFrame) -> DataFrame:
@@ -44,7 +47,8 @@ def refined_blocks(tokens: DataFrame, most: int, first: str, second: str) -> Dat
         """Blocks of each known value, and those in which rows without any meet all."""
         entry = lambda block, side: F.struct(block.alias("b"), side.alias("s"))
         opened = lambda each: rows.select(*keep, F.explode(each).alias("e")).select(*keep, F.col("e.b").alias("block"), F.col("e.s").alias("side"))
-        lacking = F.when(F.size(known) == 0, F.lit("l")).otherwise(F.lit("r"))
+        lacks, both = F.size(known) == 0, F.col("side") == "b"
+        lacking = F.when(lacks & both, "l").when(lacks, "k").when(both, "s").otherwise("r")
         return opened(F.transform(known, lambda k: entry(F.concat_ws("|", "block", k), F.col("side")))), opened(F.array(entry(F.concat_ws("|", "block", F.lit("~")), lacking)))
 
     none = F.array().cast("array<string>")
@@ -71,9 +75,10 @@ def block_pairs(blocks: DataFrame, may: Callable[[Column, Column], Column] | Non
     """
     carried = "v" in blocks.columns
     take = lambda s: [F.col("id").alias(s), F.col("side").alias(f"side_{s}"), *([F.col("v").alias(f"v{s}")] if carried else [])]
-    left, right = blocks.where("side <> 'r'").select("block", *take("a")), blocks.select("block", *take("b"))
-    # A pair of side r and side l comes once, from l; one of two equal sides from the smaller id.
-    met = left.join(right, "block").where("a <> b AND (side_b = 'r' OR a < b)")
+    left, right = blocks.where("side IN ('b', 'l', 'k')").select("block", *take("a")), blocks.select("block", *take("b"))
+    # A pair of two sides comes once, from b, l or k; one of equal sides from the smaller id.
+    one_side = "(side_a IN ('b', 'l') AND side_b = side_a AND a < b)"
+    met = left.join(right, "block").where(f"a <> b AND ({one_side} OR (side_a IN ('b', 'l') AND side_b IN ('r', 's', 'k')) OR (side_a = 'k' AND side_b = 's'))")
     if may is not None:
         met = met.where(may(F.col("va"), F.col("vb")))
     turn = F.col("a") > F.col("b")

@@ -361,28 +361,24 @@ def char_bits(text: Column) -> Column:
     return F.aggregate(bit, F.lit(0).cast("bigint"), lambda all_, one: all_.bitwiseOR(one))
 
 
-def _kept(a: Column, b: Column, bits_a: Column, bits_b: Column) -> tuple[Column, Column]:
-    """Upper bounds of how many characters of ``a`` occur in ``b``: by their bits, and exact."""
-    rough = F.length(a) - F.bit_count(bits_a.bitwiseAND(F.bitwise_not(bits_b)))
-    return rough, F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+def _kept(a: Column, bits_a: Column, bits_b: Column) -> Column:
+    """Upper bound of how many characters of ``a`` occur in the other text."""
+    return F.length(a) - F.bit_count(bits_a.bitwiseAND(F.bitwise_not(bits_b)))
 
 
 def may_be_like(a: Column, b: Column, bits_a: Column, bits_b: Column, ratio: float = 0.6) -> Column:
     """Whether two names can reach a ratio of common subsequence: a bound from the characters that
-    the other name has at all, so that most pairs of a block never reach Python; first from the
-    bits, which costs next to nothing."""
-    (rough_a, kept_a), (rough_b, kept_b) = _kept(a, b, bits_a, bits_b), _kept(b, a, bits_b, bits_a)
-    least = ratio * (F.length(a) + F.length(b))
-    wild = a.contains(WILD) | b.contains(WILD)
-    return (a == b) | wild | ((2 * F.least(rough_a, rough_b) >= least) & (2 * F.least(kept_a, kept_b) >= least))
+    the other name has at all, so that most pairs of a block never reach Python.  Bit sets keep the
+    join's generated code small; with the characters themselves it was too long to be compiled."""
+    kept = F.least(_kept(a, bits_a, bits_b), _kept(b, bits_b, bits_a))
+    return (2 * kept >= ratio * (F.length(a) + F.length(b))) | a.contains(WILD) | b.contains(WILD)
 
 
 def may_sound_like(a: Column, b: Column, bits_a: Column, bits_b: Column) -> Column:
     """Whether a reading can be like another, or the given name of the other: the same bound, against
     the shorter one."""
-    (rough_a, kept_a), (rough_b, kept_b) = _kept(a, b, bits_a, bits_b), _kept(b, a, bits_b, bits_a)
-    least = 0.75 * F.least(F.length(a), F.length(b))
-    return (F.least(rough_a, rough_b) >= least) & (F.least(kept_a, kept_b) >= least)
+    kept = F.least(_kept(a, bits_a, bits_b), _kept(b, bits_b, bits_a))
+    return kept >= 0.75 * F.least(F.length(a), F.length(b))
 
 
 def readings(observation_in: DataFrame, variants: dict[str, str], branches: list[tuple]) -> DataFrame:
