@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers: vector bin packing by the dot-product heuristic.
 
-An item has three sizes: tokens, segments (one) and loss-bearing tokens (tokens of pieces with a
-letter; cue numbers and times carry no loss).  A container limits all three at once.  Of the
+An item has three sizes: tokens, segments (one) and loss-bearing tokens (those of pieces for which
+the caller's ``bears_loss`` holds; by default those with a letter, as cue numbers and times carry no
+loss).  A container limits all three at once.  Of the
 items that still fit, the one whose sizes point most in the direction of the room left (largest
 dot product, weighted by scarcity) goes in; when none fits the container is closed.
 
@@ -9,13 +10,14 @@ Texts beyond a limit on their own are divided into parts that fill it, and only
 are spread by a hash of their key over blocks of bounded size, each a fair sample of all, so
 blocks are packed independently; only the last containers of a block have room left, which is
 little beside the hundreds before it.  Null and empty texts need no room: they are listed with
-no container.  Rows of one id are items of their own.
+no container.  Rows of one id are items of their own; where items are equal, which of them is meant
+makes no difference, so containers do not depend on how the input is laid out in files.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,11 +42,19 @@ class Limits(NamedTuple):
 BLOCK_ITEMS = 6000
 
 
-def measured_items(documents: DataFrame, blob: bytes, limits: Limits) -> DataFrame:
+#: Equal items that one row stands for while they are spread.
+COPIES = 10_000
+
+
+def has_letter(piece: str) -> bool:
+    return any(map(str.isalpha, piece))
+
+
+def measured_items(documents: DataFrame, blob: bytes, limits: Limits, bears_loss: Callable[[str], bool] = has_letter) -> DataFrame:
     """``(doc_id, part, first_token, n_tokens, n_loss)``; several parts only beyond a limit."""
 
     def measure(words: Vocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes = _sizes(words)
+        sizes = _sizes(words, bears_loss)
         out: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             pieces = words.split(text or "")
@@ -61,11 +71,22 @@ def measured_items(documents: DataFrame, blob: bytes, limits: Limits) -> DataFra
     return map_texts(documents, ["doc_id", "text"], measure, "doc_id long, part int, first_token long, n_tokens long, n_loss long", blob)
 
 
-def _sizes(words: Vocabulary) -> Remembered:
-    """Twice the tokens of a piece, plus one if they bear loss (the piece has a letter)."""
-    if not hasattr(words, "loss_sizes"):
-        words.loss_sizes = Remembered(lambda piece: 2 * len(words.pieces[piece]) + any(map(str.isalpha, piece)))
-    return words.loss_sizes
+def _sizes(words: Vocabulary, bears_loss: Callable[[str], bool]) -> Remembered:
+    """Twice the tokens of a piece, plus one if they bear loss."""
+    if getattr(words, "loss_sizes", (None,))[0] is not bears_loss:
+        words.loss_sizes = (bears_loss, Remembered(lambda piece: 2 * len(words.pieces[piece]) + bool(bears_loss(piece))))
+    return words.loss_sizes[1]
+
+
+def spread_items(items: DataFrame, blocks: int) -> DataFrame:
+    """Items with their block, by hash of what they are and, among equal ones, of their number: the same
+    for every order of the rows.  Equal items are counted first, so a hot one is a single row until
+    it is spread."""
+    fields = items.columns
+    counted = items.groupBy(*fields).agg(F.count(F.lit(1)).alias("_n"))
+    some = counted.select(*fields, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))).alias("_c"))
+    each = some.select(*fields, F.explode(F.sequence(F.col("_c") * COPIES, F.least(F.col("_n"), (F.col("_c") + 1) * COPIES) - 1)).alias("_k"))
+    return each.withColumn("block", F.pmod(F.xxhash64(*fields, "_k"), F.lit(blocks))).drop("_k")
 
 
 def divided(sizes: list[int], bears: list[int], limits: Limits) -> Iterator[tuple[int, int, int]]:
@@ -112,16 +133,15 @@ def packed(sizes: np.ndarray, limits: Limits) -> np.ndarray:
     return out
 
 
-def fill_containers(documents: DataFrame, blob: bytes, limits: Limits = Limits(), block_items: int = BLOCK_ITEMS) -> DataFrame:
+def fill_containers(documents: DataFrame, blob: bytes, limits: Limits = Limits(), block_items: int = BLOCK_ITEMS, bears_loss: Callable[[str], bool] = has_letter) -> DataFrame:
     """``(container_id, doc_id, part, first_token, n_tokens, n_loss)`` of every text and part."""
-    items = cut_lineage(measured_items(documents, blob, limits))
+    items = cut_lineage(measured_items(documents, blob, limits, bears_loss))
     full = items.where("n_tokens > 0")
     blocks = max(1, math.ceil(full.count() / block_items))
-    salt = F.spark_partition_id().cast("long") * F.lit(1 << 33) + F.monotonically_increasing_id() % F.lit(1 << 33)
-    placed = full.withColumn("block", F.pmod(F.xxhash64("doc_id", "part", salt), F.lit(blocks)))
+    placed = spread_items(full, blocks)
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "part"], kind="stable")
+        block = block.sort_values(["doc_id", "part", "first_token", "n_tokens", "n_loss"], kind="stable")
         sizes = np.stack([block.n_tokens.to_numpy(), np.ones(len(block)), block.n_loss.to_numpy()], axis=1).astype(float)
         block["container_id"] = block.block * (1 << 24) + packed(sizes, limits)
         return block[["container_id", "doc_id", "part", "first_token", "n_tokens", "n_loss"]]

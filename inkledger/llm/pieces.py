@@ -130,11 +130,13 @@ def cut(words: Vocabulary, text: str, limit: int, overlap: int) -> list[tuple[in
         return int(total[last] - total[start]) + (len(words.encode(tail)) if tail else 0)
 
     end, following = successors(total, np.concatenate([[3], graded(codes)]), limit, overlap)
-    out, covered = [], 0
+    out, covered, last, shortened = [], 0, -1, False
     starts = [int(s) for s in reached(following)]
     while covered < len(units):
         start = min(starts.pop(0), covered) if starts else covered
-        stop = int(end[start])
+        if shortened:  # the walk's next cut begins where this one was to end
+            start = min(start, max(int(np.searchsorted(total, total[covered] - overlap)), last + 1))
+        stop = planned = int(end[start])
         if stop <= covered and covered:
             continue
         while (tokens := tokens_of(start, stop)) > limit:
@@ -145,7 +147,7 @@ def cut(words: Vocabulary, text: str, limit: int, overlap: int) -> list[tuple[in
         if stop <= covered and covered:
             continue
         out.append((int(chars[start]), int(chars[stop]), tokens))
-        covered = stop
+        covered, last, shortened = stop, start, stop < planned
     return out
 
 

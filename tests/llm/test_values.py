@@ -6,6 +6,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -158,3 +159,16 @@ def test_long_lists_are_searched_in_shards(spark):
     values = args[0].selectExpr("branch_code AS raw")
     cut = {tuple(r) for r in map_sharded(values, listed, variant_map(args[3]), shard_size=3, block_size=40).collect()}
     assert cut == {tuple(r) for r in map_sharded(values, listed, variant_map(args[3])).collect()}
+
+
+def test_containers_do_not_depend_on_the_layout(spark):
+    from inkledger.llm.containers import Limits, fill_containers
+    from inkledger.llm.tokens import read_tokenizer
+
+    rows = [(i % 40, "word " * (i % 9) + str(i % 3)) for i in range(120)] + [(7, "same text")] * 30 + [(None, "x"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pack = lambda d, **more: sorted(map(tuple, fill_containers(d, read_tokenizer(), Limits(40, 8, 30), 60, **more).collect()), key=str)
+    want = pack(df)
+    assert want == pack(df.repartition(5)) == pack(df.orderBy(F.desc("text")).coalesce(1)) and len(want) == len(rows)
+    masked = pack(df, bears_loss=lambda piece: False)
+    assert all(r[5] == 0 for r in masked) and any(r[5] for r in want)
