@@ -154,6 +154,15 @@ def test_unsettled_rounds_are_an_error(spark, monkeypatch):
         consensus.consensus(labels)
 
 
+def test_recall_on_a_noisy_roster(spark):
+    """Made-up rosters with truth (``rosters``), whose noise the operators have not seen."""
+    from rosters import measured
+
+    got = measured(spark, 500)
+    assert got["p6"][0] >= 0.9 and got["p6"][1] >= 0.93, got
+    assert got["p1"][0] >= 0.9 and got["p1"][1] >= 0.93, got
+
+
 def test_empty_tables(spark):
     e, p = spark.createDataFrame([], ENTERED), spark.createDataFrame([], PRINTED)
     branches, variants = _vocabularies(spark)
