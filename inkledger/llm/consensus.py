@@ -14,7 +14,8 @@ labels that are equal.
 
 Null labels are no votes; a cell without any has a null consensus; a label delivered twice
 counts once; ties go to the larger value.  Readers without a user_id are unknown: each of their
-labels (by label_id) is a vote of its own, with the accuracy that unknown readers have together.  The rounds end when no accuracy moves; if that never happens, with an error.
+labels (by label_id) is a vote of its own, with the accuracy that unknown readers have together.  The rounds end when no accuracy moves; where two answers would take turns, steps
+are halved, and if nothing helps, the end is an error.
 No group is gathered: every step is an aggregation
 with map-side combine or a join on keys, hot annotators meet only their own small row.
 """
@@ -118,15 +119,19 @@ def settle(labels: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[DataFra
     votes = votes_of(labels, fields)
     voters = votes.groupBy("cell_id", "field_name").agg(F.count(F.lit(1)).alias("voters"))
     votes = cut_lineage(votes.join(priors(votes), ["cell_id", "field_name", "value"]).join(voters, ["cell_id", "field_name"]))
-    accuracy = None
+    accuracy, moved, pace = None, None, 1.0
     for _ in range(ROUNDS):
         tally = cut_lineage(leave_one_out(weighed(votes, accuracy)))
         mean = tally.agg(F.sum("ok") / F.sum("n_judged")).first()[0]
         smoothed = (F.col("ok") + SMOOTHING * (0.8 if mean is None else mean)) / (F.col("n_judged") + SMOOTHING)
-        accuracy = tally.select("user_id", smoothed.alias("accuracy"), "n_judged", "was")
-        moved = accuracy.agg(F.count(F.lit(1)), F.count("was"), F.max(F.abs(F.col("accuracy") - F.col("was")))).first()
-        if moved[0] == 0 or moved[1] and moved[2] < STILL:
+        stepped = F.coalesce(F.col("was") + pace * (smoothed - F.col("was")), smoothed)
+        accuracy = tally.select("user_id", stepped.alias("accuracy"), "n_judged", "was")
+        readers, known, farthest = accuracy.agg(F.count(F.lit(1)), F.count("was"), F.max(F.abs(F.col("accuracy") - F.col("was")))).first()
+        if readers == 0 or known and farthest < STILL:
             return votes, accuracy.drop("was")
+        if moved is not None and known and farthest >= moved:
+            pace /= 2  # two answers in turn: go half the way
+        moved = farthest if known else None
     raise ArithmeticError(f"the annotators' accuracies have not settled in {ROUNDS} rounds")
 
 

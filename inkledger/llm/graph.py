@@ -74,6 +74,7 @@ def block_pairs(blocks: DataFrame, may: Callable[[Column, Column], Column] | Non
     ``may`` is a cheap condition on the two ``v``; pairs that fail it go no further than the join.
     """
     carried = "v" in blocks.columns
+    blocks = cut_lineage(blocks)
     take = lambda s: [F.col("id").alias(s), F.col("side").alias(f"side_{s}"), *([F.col("v").alias(f"v{s}")] if carried else [])]
     left, right = blocks.where("side IN ('b', 'l', 'k')").select("block", *take("a")), blocks.select("block", *take("b"))
     # A pair of two sides comes once, from b, l or k; one of equal sides from the smaller id.
