@@ -10,7 +10,6 @@ from oracle import differences
 from pyspark.sql import functions as F
 
 from inkledger.functions import readings as T
-from inkledger.llm.consensus import consensus, votes_of
 from inkledger.operators import matching as M
 from inkledger.plans import geometry as GP
 from inkledger.plans import planned as PP
@@ -107,11 +106,3 @@ def test_propagation_diff_of_every_step(spark, tmp_path):
 
 def test_propagation_diff_like_sql_over_every_step(spark):
     assert differences(spark, SMALL, PP.propagation_diff, _CHANGES) == ""
-
-
-def test_votes_of_unknown_readers_count(spark):
-    rows = [(1, "c", None, "甲"), (2, "c", None, "甲"), (2, "c", None, "甲"), (3, "c", "u", "乙"), (4, "d", None, "丙"), (5, "e", "u", "丁"), (6, "e", "w", "丁")]
-    labels = spark.createDataFrame(rows, "label_id bigint, cell_id string, user_id string, name_raw string")
-    assert votes_of(labels, ("name_raw",)).count() == 6
-    got = {r.cell_id: (r.consensus, r.n_labels) for r in consensus(labels, ("name_raw",)).collect()}
-    assert got["d"] == ("丙", 1) and got["e"] == ("丁", 2) and got["c"][1] == 3
