@@ -7,6 +7,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkledger.llm.entity_graph import same_people
 from inkledger.llm.graph import block_pairs, components, refined_blocks
@@ -144,6 +145,39 @@ def test_variants_and_links(spark):
     assert all(0 <= c <= 1 for c in links.values())
 
 
+def test_steps_give_their_disk_back(spark):
+    """Intermediate results are deleted once they have served: what stays in the shared folder after the
+    linkage is a checkpoint or two of its result, not one of every step."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from inkledger.session import _shared_folder, cut_lineage, phase
+
+    folder = Path(urlparse(_shared_folder(spark)).path)
+    before = set(folder.iterdir())
+    tables = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("observation_in", "officers")]
+    pairs = variant_pairs(*tables, *_vocabularies(spark))
+    left = {f.name for f in set(folder.iterdir()) - before}
+    assert len(left) <= 3 and not any(f.startswith("phase-") for f in left)
+    assert pairs.count() == pairs.distinct().count() > 0
+
+    @phase
+    def inner(df):
+        first = cut_lineage(df.withColumn("k", F.col("id") % 3))
+        second = cut_lineage(first.groupBy("k").count(), over=first)
+        return second.where("k > 0"), second.groupBy().sum("count")
+
+    @phase
+    def outer(df):
+        some, total = inner(df)
+        assert total.first()[0] == 30
+        return some
+
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    assert {tuple(r) for r in outer(spark.range(30)).collect()} == {(1, 10), (2, 10)}
+    assert not list(folder.glob("phase-*")) and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == setting
+
+
 def test_unsettled_rounds_are_an_error(spark, monkeypatch):
     from inkledger.llm import consensus
 
