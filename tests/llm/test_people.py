@@ -73,6 +73,28 @@ def test_common_tokens_are_refined_not_dropped(spark):
     assert pairs == want
 
 
+def test_common_tokens_leave_out_no_likely_partner(spark):
+    """Rows of a common token that agree in neither field meet too if their names can be alike: every pair
+    of a brute force over names with three common characters is met, by names and in the graph."""
+    from inkledger.llm.entity_graph import candidate_graph
+    from inkledger.llm.graph import edge_tokens, met_pairs, spare_characters
+    from inkledger.llm.people import may_be_like, name_level, sketch
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice(c) for c in ("山川田石", "本村林", "正義", "一夫雄")) for _ in range(60)}) + ["山〓正一", "山正一", "本山正一郎"]
+    rows = spark.createDataFrame([(i, n, [str(i)], [str(i)]) for i, n in enumerate(names)], "id long, core string, y array<string>, b array<string>")
+    tokens = rows.select("id", "core", "y", "b", sketch(F.col("core")).alias("v"), F.explode(edge_tokens(F.col("core"))).alias("token"))
+    tokens = tokens.withColumn("rest", spare_characters(F.col("core"), F.col("token"))).drop("core")
+    got = {tuple(r) for r in met_pairs(tokens, 1, "y", "b", lambda a, b: may_be_like(a, b, 0.66), "rest").collect()}
+    own = {r.id: set(r.t) for r in rows.select("id", edge_tokens(F.col("core")).alias("t")).collect()}
+    want = {(a, b) for a in own for b in own if a < b and own[a] & own[b] and name_level(names[a], names[b]) >= 2}
+    assert want and want <= got and len(got) < len(names) * (len(names) - 1) / 2
+
+    profiles = spark.createDataFrame([(0, "山本正一", [], None, "1900-01-01", 1900, "b")], "id long, core string, words array<string>, usual array<string>, day string, year int, branch string")
+    people = spark.createDataFrame([(0, "山本義一", [], None, ["1901-02-02"], [1901], "b"), (1, "川田正一", [], None, ["1902-02-02"], [1902], "b")], "officer_id long, core string, words array<string>, usual array<string>, days array<string>, all_years array<int>, branch string")
+    assert [(r.i, r.p) for r in candidate_graph(profiles, people, 1).collect()] == [(0, 0)]
+
+
 def test_learnt_odds():
     """Two classes of pairs, drawn with known agreement: the odds find them again."""
     import numpy as np
